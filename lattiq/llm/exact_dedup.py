@@ -53,8 +53,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without the copies: of equal texts the row with the largest id stays, with all its columns."""
     groups = exact_groups(docs, id_col, text_col)
-    gone = groups.where("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = Scratch(docs.sparkSession, "gone").keep(groups.where("not kept").select(id_col).distinct(), "gone")
+    return docs.join(sized(gone), id_col, "left_anti")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
