@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattiq.llm import bpe, exact_dedup, language_id, license_scan, mixing
+from lattiq.llm import ann, bpe, exact_dedup, language_id, license_scan, lm_scoring, mixing, ngram_join, substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_suffix_array_dedup": suffix_array_dedup.op5_suffix_array_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_language_id": language_id.op7_language_id,
+    "op8_ann": ann.op8_ann,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
