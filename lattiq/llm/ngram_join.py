@@ -183,49 +183,55 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def long_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links across components among members (token, id, comp, k) of long lists, by blocks of members."""
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "comp")
+    """Links across components among members (token, id, comp) of long lists.
+
+    Only members outside a list's largest component need a comparison.  They are held BLOCK
+    at a time with an index of their shingles, and all members of the list pass by.
+    """
     scratch = Scratch(members.sparkSession, "lists")
-    rows = with_text(scratch.keep(dealt, "dealt"), docs).select("token", "x", "y", "id", "comp", "text")
+    largest = members.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("k"))
+    blocks = scratch.keep(largest.select("token", F.col("m.comp").alias("main"), F.ceil((F.col("k") - F.col("m.c")) / BLOCK).cast("int").alias("blocks")), "blocks")
+    own = members.join(blocks, "token")
+    few = own.where("comp <> main").select("token", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("held"), "id", "comp")
+    everyone = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "block", F.lit(False).alias("held"), "id", "comp")
+    rows = with_text(scratch.keep(few.unionByName(everyone), "dealt"), docs).select("token", "block", "held", "id", "comp", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    t, u = THRESHOLD
 
-    def across(group: list[tuple]) -> list[tuple]:
-        comps = np.array([g[1] for g in group])
-        names, n = np.unique(comps, return_counts=True)
-        if len(names) < 2:
-            return []
-        sets = [shingles(g[2]) for g in group]
-        size = np.array(list(map(len, sets)))
-        tokens, number = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(number, kind="stable")
-        lists, begin = owner[order], np.searchsorted(number[order], np.arange(len(tokens) + 1))
-        start = np.cumsum(size) - size
-        t, u = THRESHOLD
-        out = []
-        for i in np.flatnonzero(comps != names[n.argmax()]):
-            mine = number[start[i] : start[i] + size[i]]
-            both = np.bincount(np.concatenate([lists[begin[m] : begin[m + 1]] for m in mine]), minlength=len(sets))
-            hit = (u * both >= t * (size + size[i] - both)) & (comps != comps[i])
-            out += [(group[i][0], group[j][0]) for j in np.flatnonzero(hit)]
-        return out
+    class Held:
+        """An inverted index over the shingles of the documents held."""
+
+        def __init__(self, group: list[tuple]) -> None:
+            self.ids, self.comps = [g[0] for g in group], np.array([g[1] for g in group])
+            sets = [shingles(g[2]) for g in group]
+            self.size = np.array(list(map(len, sets)))
+            both = np.concatenate(sets)
+            order = np.argsort(both, kind="stable")
+            self.token, self.owner = both[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+        def partners(self, comp: int, s: np.ndarray) -> list[int]:
+            lo, hi = np.searchsorted(self.token, s), np.searchsorted(self.token, s, side="right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            both = np.bincount(self.owner[at], minlength=len(self.size))
+            hit = (u * both >= t * (self.size + len(s) - both)) & (self.comps != comp)
+            return [self.ids[i] for i in np.flatnonzero(hit)]
 
     def run(batches):
-        name, group = None, []
-        for rows in rows_of(batches, "token", "x", "y", "id", "comp", "text"):
+        name, waiting, held = None, [], None
+        for rows in rows_of(batches, "token", "block", "held", "id", "comp", "text"):
             out = []
-            for r in rows:
-                if r[:3] != name:
-                    out += across(group) if len(group) > 1 else []
-                    name, group = r[:3], []
-                group.append(r[3:])
+            for token, block, mine, key, comp, text in rows:
+                if (token, block) != name:
+                    name, waiting, held = (token, block), [], None
+                if mine:
+                    waiting.append((key, comp, text))
+                    continue
+                held = held or Held(waiting)
+                out += [(key, other) for other in held.partners(comp, shingles(text))]
             yield arrow(schema, out)
-        if len(group) > 1:
-            yield arrow(schema, across(group))
 
-    return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.repartition("token", "block").sortWithinPartitions("token", "block", F.desc("held")).mapInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +269,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a link shares need shingles of the two prefixes at least; if some of them are in long lists, the blocks compare the pair
     pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.need", "y.need")).alias("need"))
     pairs = scratch.keep(pairs.where("shared >= need").select("a", "b"), "pairs")
-    more = scratch.keep(verify(pairs, texts).unionByName(long_lists(long_.select("token", "id", "comp", "k"), texts)), "more")
+    more = scratch.keep(verify(pairs, texts).unionByName(long_lists(long_.select("token", "id", "comp"), texts)), "more")
     all_ = components(found.unionByName(more), scratch, "all")
     of_rep = member.join(all_.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     of_id = of_rep.groupBy("id").agg(F.min("component").alias("component"))
