@@ -1,0 +1 @@
+"""Nothing here yet: the inputs of this library are files that are read whole."""
