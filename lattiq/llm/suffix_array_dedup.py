@@ -38,8 +38,8 @@ from lattiq.llm.common import Scratch, arrow, documents, merged, mix, powers, ro
 
 LENGTH = 200
 Q = 64
-#: Buckets with more different runs than this are refined by rows, not in memory.
-IN_MEMORY_RUNS = 2_000
+#: Buckets with more different runs than this are refined by rows; so many runs of about 270 bytes take some 150 MB of a worker.
+IN_MEMORY_RUNS = 8_000
 
 
 def prefix_sums(data: bytes) -> np.ndarray:
