@@ -45,9 +45,10 @@ THRESHOLD = (4, 5)
 HEAVY = 48
 HEAVY_MOST = 1_000_000
 LENGTHEN = 4
-#: Lists up to this length are worked off by pairs, longer ones in blocks of BLOCK members.
+#: Lists up to this length are worked off by pairs, longer ones in blocks of members with
+#: about BLOCK_SHINGLES shingles in all.
 PAIRS = 64
-BLOCK = 256
+BLOCK_SHINGLES = 100_000
 #: Requests for texts up to this number are broadcast to the scan; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 HUB_ROWS = 200
@@ -183,18 +184,28 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def long_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links across components among members (token, id, comp) of long lists.
+    """Links across components among members (token, id, n, comp) of long lists.
 
-    Only members outside a list's largest component need a comparison.  They are held BLOCK
-    at a time with an index of their shingles, and all members of the list pass by.
+    Only members outside a list's largest component need a comparison.  They are held in
+    blocks of bounded shingles, with an index of these, and all members of the list pass by.  Lists
+    with the same largest component often have the same members (one group of near copies
+    has a list for each shingle it shares), so they are worked off as one list where that
+    makes fewer rows pass by than each list by itself.
     """
     scratch = Scratch(members.sparkSession, "lists")
-    largest = members.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("k"))
-    blocks = scratch.keep(largest.select("token", F.col("m.comp").alias("main"), F.ceil((F.col("k") - F.col("m.c")) / BLOCK).cast("int").alias("blocks")), "blocks")
-    own = members.join(blocks, "token")
-    few = own.where("comp <> main").select("token", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("held"), "id", "comp")
-    everyone = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "block", F.lit(False).alias("held"), "id", "comp")
-    rows = with_text(scratch.keep(few.unionByName(everyone), "dealt"), docs).select("token", "block", "held", "id", "comp", "text")
+    rounds = lambda held: F.ceil(held / BLOCK_SHINGLES).cast("long")
+    largest = members.groupBy("token", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("token")
+    largest = largest.agg(F.max(F.struct("c", "comp", "n")).alias("m"), F.sum("c").alias("k"), F.sum("n").alias("n"))
+    largest = scratch.keep(largest.select("token", F.col("m.comp").alias("main"), "k", rounds(F.col("n") - F.col("m.n")).alias("own")), "largest")
+    apart = largest.groupBy("main").agg(F.sum(F.col("k") * F.col("own")).alias("apart"))
+    union = members.join(largest.select("token", "main"), "token").select("main", "id", "n", "comp").distinct()
+    union = union.groupBy("main").agg(F.count("*").alias("k"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))).alias("held"))
+    merged = apart.join(union, "main").select("main", rounds(F.col("held")).alias("all"), (F.col("k") * rounds(F.col("held")) < F.col("apart")).alias("merge"))
+    lists = scratch.keep(largest.join(merged, "main").select("token", "main", F.when(F.col("merge"), F.lit(None)).otherwise(F.col("token")).alias("list"), F.when(F.col("merge"), F.col("all")).otherwise(F.col("own")).cast("int").alias("blocks")), "blocks")
+    own = members.join(lists, "token").select("list", "main", "blocks", "id", "comp").distinct()
+    few = own.where("comp <> main").select("list", "main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("held"), "id", "comp")
+    everyone = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "main", "block", F.lit(False).alias("held"), "id", "comp")
+    rows = with_text(scratch.keep(few.unionByName(everyone), "dealt"), docs).select("list", "main", "block", "held", "id", "comp", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     t, u = THRESHOLD
 
@@ -219,11 +230,11 @@ def long_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         name, waiting, held = None, [], None
-        for rows in rows_of(batches, "token", "block", "held", "id", "comp", "text"):
+        for rows in rows_of(batches, "list", "main", "block", "held", "id", "comp", "text"):
             out = []
-            for token, block, mine, key, comp, text in rows:
-                if (token, block) != name:
-                    name, waiting, held = (token, block), [], None
+            for *key_of, mine, key, comp, text in rows:
+                if key_of != name:
+                    name, waiting, held = key_of, [], None
                 if mine:
                     waiting.append((key, comp, text))
                     continue
@@ -231,7 +242,7 @@ def long_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
                 out += [(key, other) for other in held.partners(comp, shingles(text))]
             yield arrow(schema, out)
 
-    return rows.repartition("token", "block").sortWithinPartitions("token", "block", F.desc("held")).mapInArrow(run, "a long, b long")
+    return rows.repartition("list", "main", "block").sortWithinPartitions("list", "main", "block", F.desc("held")).mapInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +280,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a link shares need shingles of the two prefixes at least; if some of them are in long lists, the blocks compare the pair
     pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.need", "y.need")).alias("need"))
     pairs = scratch.keep(pairs.where("shared >= need").select("a", "b"), "pairs")
-    more = scratch.keep(verify(pairs, texts).unionByName(long_lists(long_.select("token", "id", "comp"), texts)), "more")
+    more = scratch.keep(verify(pairs, texts).unionByName(long_lists(long_.select("token", "id", "n", "comp"), texts)), "more")
     all_ = components(found.unionByName(more), scratch, "all")
     of_rep = member.join(all_.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     of_id = of_rep.groupBy("id").agg(F.min("component").alias("component"))
