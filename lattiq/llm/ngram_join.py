@@ -278,8 +278,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = fits & (F.col("y.n") * u >= F.col("x.n") * t)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & fits)
     # a link shares need shingles of the two prefixes at least; if some of them are in long lists, the blocks compare the pair
-    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.need", "y.need")).alias("need"))
-    pairs = scratch.keep(pairs.where("shared >= need").select("a", "b"), "pairs")
+    # the prefix that ends first in the order of all shingles has all it shares with the other set among the shared ones;
+    # so the intersection is at most these and what lies behind that prefix
+    behind = lambda n, need: F.greatest(F.lit(0), F.ceil(n * t / u) - need)
+    shared = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.need").alias("need"), F.col("y.need").alias("needs")).agg(F.count("*").alias("shared"))
+    most = F.col("shared") + F.greatest(behind(F.col("n"), F.col("need")), behind(F.col("m"), F.col("needs")))
+    enough = (F.col("shared") >= F.least("need", "needs")) & (most * (t + u) >= (F.col("n") + F.col("m")) * t)
+    pairs = scratch.keep(shared.where(enough).select("a", "b").distinct(), "pairs")
     more = scratch.keep(verify(pairs, texts).unionByName(long_lists(long_.select("token", "id", "n", "comp"), texts)), "more")
     all_ = components(found.unionByName(more), scratch, "all")
     of_rep = member.join(all_.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
