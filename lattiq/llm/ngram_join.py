@@ -238,8 +238,9 @@ def long_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
                 if mine:
                     waiting.append((key, comp, text))
                     continue
-                held = held or Held(waiting)
-                out += [(key, other) for other in held.partners(comp, shingles(text))]
+                if waiting:  # members are dealt by hash, and a block may get none
+                    held = held or Held(waiting)
+                    out += [(key, other) for other in held.partners(comp, shingles(text))]
             yield arrow(schema, out)
 
     return rows.repartition("list", "main", "block").sortWithinPartitions("list", "main", "block", F.desc("held")).mapInArrow(run, "a long, b long")

@@ -77,7 +77,7 @@ def test_near(docs, rows):
 def test_near_with_heavy_and_long_lists(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HEAVY", 3)
     monkeypatch.setattr(ngram_join, "PAIRS", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 230)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(80)]
     rows = []
