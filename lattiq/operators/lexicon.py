@@ -42,3 +42,28 @@ def duplicates(models: DataFrame, key: str) -> DataFrame:
 
 def distinct_entries(lexicon: DataFrame) -> DataFrame:
     return lexicon.dropDuplicates(["word", "phones"])
+
+
+def pronunciations(words: DataFrame, confusions: DataFrame, at_least: float = 0.1) -> DataFrame:
+    """(word, phones): every combination of the likely confusions (ref, hyp, ratio) of a word's syllables (word, syls).
+
+    A syllable without a ratio above the bound stands for itself; the number of rows of a word is the product
+    over its syllables, which is the feature.
+    """
+    likely = confusions.where(F.col("ratio") > at_least).groupBy("ref").agg(F.array_sort(F.collect_set("hyp")).alias("hyps"))
+    places = words.select("word", F.posexplode("syls").alias("i", "ref")).join(likely, "ref", "left")
+    choices = places.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("hyps", F.array("ref")).alias("hyps")))).alias("c"))
+    grown = F.aggregate(F.col("c.hyps"), F.array(F.array().cast("array<string>")), lambda acc, hyps: F.flatten(F.transform(acc, lambda a: F.transform(hyps, lambda h: F.concat(a, F.array(h))))))
+    return choices.select("word", F.explode(grown).alias("phones"))
+
+
+def compose_models(syllables: DataFrame, models: DataFrame) -> DataFrame:
+    """(syl, states): the states of the initial and final models (model, states) of each syllable (syl, initial, final) in sequence.
+
+    A syllable without an initial has its final's states only; a name that is no model fails.
+    """
+    named = lambda c: models.select(F.col("model").alias(c), F.col("states").alias(f"{c}_states"))
+    rows = syllables.join(named("initial"), "initial", "left").join(named("final"), "final", "left")
+    miss = (F.col("initial").isNotNull() & F.col("initial_states").isNull()) | F.col("final_states").isNull()
+    both = F.concat(F.coalesce("initial_states", F.array().cast("array<int>")), F.col("final_states"))
+    return rows.select("syl", F.when(miss, F.raise_error(F.concat(F.lit("no such model: "), F.col("syl"))).cast("array<int>")).otherwise(both).alias("states"))

@@ -25,3 +25,46 @@ def backoff_arcs(bigrams: DataFrame) -> DataFrame:
     uni = of_b.crossJoin(F.broadcast(all_b)).select(F.lit("<B>").alias("src"), F.col("b").alias("dst"), F.col("b").alias("label"), F.ln(F.col("nb") / F.col("all")).alias("w"))
     back = of_b.select(F.col("b").alias("src"), F.lit("<B>").alias("dst"), F.lit("<F>").alias("label"), F.ln(F.lit(0.4)).alias("w"))
     return top.unionByName(uni).unionByName(back)
+
+
+def ngram_table(sentences: DataFrame, order: int, backoff: float = 0.4) -> DataFrame:
+    """(ord, words, logp, backoff) up to an order: relative frequencies (ln) and one back-off weight.
+
+    Only n-grams below the order that do not end a sentence fall back.
+    """
+    padded = sentences.select(F.concat(F.array(F.lit("<s>")), "tokens", F.array(F.lit("</s>"))).alias("t"))
+    orders = F.sequence(F.lit(1), F.least(F.lit(order), F.size("t")))
+    spans = F.flatten(F.transform(orders, lambda k: F.transform(F.sequence(F.lit(1), F.size("t") - k + 1), lambda i: F.slice("t", i, k))))
+    n = padded.select(F.explode(spans).alias("words")).select(F.size("words").alias("ord"), "words").groupBy("ord", "words").agg(F.count("*").alias("n")).withColumn("head", F.slice("words", F.lit(1), F.col("ord") - 1))
+    of_head = n.groupBy("ord", "head").agg(F.sum("n").alias("total"))
+    falls = (F.col("ord") < order) & (F.element_at("words", -1) != "</s>")
+    return n.join(of_head, ["ord", "head"]).select("ord", "words", F.ln(F.col("n") / F.col("total")).alias("logp"), F.when(falls, F.ln(F.lit(backoff))).otherwise(F.lit(0.0)).alias("backoff"))
+
+
+def ngram_graph(ngrams: DataFrame, order: int) -> DataFrame:
+    """Arcs (src, dst, label, w) of a back-off model (ord, words, logp, backoff) of any order.
+
+    A state is an n-gram's words; ``aux:`` states lie between a state and what it falls back to, the
+    longest known shorter suffix, <B> below unigrams.  An n-gram whose prefix or whose every suffix is
+    unknown is left out.  The arc of a sentence end carries all back-off weights of its suffixes.
+    """
+    g = ngrams.select("ord", "words", F.array_join("words", " ").alias("g"), "logp", "backoff", F.element_at("words", -1).alias("label"))
+    known = g.select(F.col("g").alias("s"), F.col("ord").alias("k"), F.col("backoff").alias("b"))
+    high = g.where("ord > 1").withColumn("src", F.array_join(F.slice("words", F.lit(1), F.col("ord") - 1), " "))
+    tails = high.select("g", F.explode(F.transform(F.sequence(F.lit(1), F.col("ord") - 1), lambda k: F.array_join(F.slice("words", F.col("ord") - k + 1, k), " "))).alias("s"))
+    falls = tails.join(known, "s").groupBy("g").agg(F.max_by("s", "k").alias("to"), F.sum("b").alias("below"))
+    high = high.join(falls, "g").join(known.select(F.col("s").alias("src")), "src", "left_semi")
+    ends, inside = high.where("label = '</s>'"), high.where("label <> '</s>'")
+    lone = (F.col("ord") < order) | (F.col("src") == F.col("to"))
+    own = inside.where(lone)
+    aux = F.concat(F.lit("aux:"), F.col("g"))
+    arc = lambda df, src, dst, label, w: df.select(src.alias("src"), dst.alias("dst"), label.alias("label"), w.alias("w"))
+    fall, zero, base, one = F.lit("<F>"), F.lit(0.0), F.lit("<B>"), g.where("ord = 1")
+    parts = [
+        arc(one.where("label <> '</s>'"), F.col("g"), aux, fall, F.col("backoff")), arc(one.where("label <> '</s>'"), aux, base, fall, zero), arc(one.where("label <> '<s>'"), base, F.col("g"), F.col("label"), F.col("logp")),
+        arc(inside, F.col("src"), F.when(lone, F.col("g")).otherwise(F.col("to")), F.col("label"), F.col("logp")), arc(own, F.col("g"), aux, fall, F.col("backoff")), arc(own, aux, F.col("to"), fall, zero),
+        arc(ends, F.col("src"), F.lit("</s>"), F.col("label"), F.col("logp") + F.col("backoff") + F.col("below"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -16,6 +16,7 @@ from lattiq.operators import lexicon as L
 from lattiq.operators import ngram as B
 from lattiq.operators import nn as N
 from lattiq.operators import perturb as P
+from lattiq.operators import rewrite as W
 from lattiq.operators import search as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,6 +298,44 @@ def bigram_backoff_arcs(spark, d):
     return arcs.withColumn("w", F.round("w", 6))
 
 
+@query(f"""WITH {GRAPH}, p AS (SELECT *, row_number() OVER (ORDER BY dst DESC, src) AS pos FROM arcs), ends AS (SELECT src AS node, pos * 2 AS seen FROM p UNION ALL SELECT dst, pos * 2 + 1 FROM p),
+s AS (SELECT node, min(seen) AS seen FROM ends GROUP BY node), num AS (SELECT node, row_number() OVER (ORDER BY node = (SELECT max(dst) FROM arcs), seen) - 1 AS number FROM s)
+SELECT a.number AS src, b.number AS dst, ilabel, olabel, w FROM p JOIN num a ON a.node = src JOIN num b ON b.node = dst""")
+def graph_renumber(spark, d):
+    arcs, finals = graph(spark, d)
+    return W.renumber(arcs.withColumn("pos", F.expr("row_number() over (order by dst desc, src)")), finals)[0]
+
+
+@query(f"WITH {GRAPH} SELECT src AS node, max(w - (dst % 7)) AS best FROM arcs GROUP BY src")
+def graph_best_leaving(spark, d):
+    return W.best_leaving(graph(spark, d)[0].withColumn("w", F.col("w") - F.col("dst") % 7))
+
+
+@query(f"""WITH {GRAPH}, lex AS (SELECT DISTINCT ilabel AS word, string_split(ilabel, '') AS p FROM arcs WHERE length(ilabel) > 0),
+x AS (SELECT src, dst, ilabel, olabel, w, p, unnest(range(0, len(p))) AS i FROM arcs JOIN lex ON word = ilabel), name AS (SELECT *, concat_ws(':', src, dst, ilabel, array_to_string(p, ' ')) AS inner_name FROM x)
+SELECT CASE WHEN i = 0 THEN src::VARCHAR ELSE inner_name || ':' || i END AS src, CASE WHEN i = len(p) - 1 THEN dst::VARCHAR ELSE inner_name || ':' || (i + 1) END AS dst, p[i + 1] AS ilabel, CASE WHEN i = 0 THEN olabel ELSE '<eps>' END AS olabel, w FROM name
+UNION ALL SELECT src::VARCHAR, dst::VARCHAR, ilabel, olabel, w FROM arcs WHERE length(ilabel) = 0""")
+def word_phone_graph(spark, d):
+    arcs = graph(spark, d)[0]
+    lexicon = arcs.where("length(ilabel) > 0").select(F.col("ilabel").alias("word"), F.split("ilabel", "").alias("phones")).distinct()
+    return W.words_to_phones(arcs, lexicon)
+
+
+@query("""WITH t AS (SELECT list_concat(['<s>'], string_split(text, ' '), ['</s>']) AS t FROM conversations),
+p AS (SELECT unnest(flatten(list_transform(range(1, 4), lambda k: list_transform(range(1, len(t) - k + 2), lambda i: t[i:i + k - 1])))) AS g FROM t),
+n AS (SELECT g, len(g) AS k, count(*) AS n FROM p GROUP BY g),
+m AS (SELECT g, k, ln(n / sum(n) OVER (PARTITION BY k, g[1:k - 1])) AS logp, CASE WHEN k < 3 AND g[k] <> '</s>' THEN ln(0.4::DOUBLE) ELSE 0 END AS bo, array_to_string(g, ' ') AS s, g[k] AS label FROM n),
+h AS (SELECT m.*, b.s AS one, b.bo AS one_bo, c.s AS two, coalesce(c.bo, 0) AS two_bo, array_to_string(m.g[1:m.k - 1], ' ') AS src FROM m JOIN m b ON b.k = 1 AND b.s = m.label LEFT JOIN m c ON m.k = 3 AND c.k = 2 AND c.s = m.g[2] || ' ' || m.g[3] WHERE m.k > 1),
+q AS (SELECT *, coalesce(two, one) AS dest FROM h WHERE src IN (SELECT s FROM m)),
+a AS (SELECT s AS src, 'aux:' || s AS dst, '<F>' AS label, bo AS w FROM m WHERE k = 1 AND label <> '</s>' UNION ALL SELECT 'aux:' || s, '<B>', '<F>', 0 FROM m WHERE k = 1 AND label <> '</s>' UNION ALL SELECT '<B>', s, label, logp FROM m WHERE k = 1 AND label <> '<s>'
+UNION ALL SELECT src, CASE WHEN k < 3 OR src = dest THEN s ELSE dest END, label, logp FROM q WHERE label <> '</s>' UNION ALL SELECT s, 'aux:' || s, '<F>', bo FROM q WHERE label <> '</s>' AND (k < 3 OR src = dest) UNION ALL SELECT 'aux:' || s, dest, '<F>', 0 FROM q WHERE label <> '</s>' AND (k < 3 OR src = dest)
+UNION ALL SELECT src, '</s>', label, logp + bo + one_bo + two_bo FROM q WHERE label = '</s>')
+SELECT src, dst, label, round(w, 6) + 0.0 AS w FROM a""")
+def ngram_graph(spark, d):
+    table_ = B.ngram_table(turns(spark, d).select(F.split("text", " ").alias("tokens")), 3)
+    return B.ngram_graph(table_, 3).withColumn("w", r6("w"))
+
+
 # ---- frames ------------------------------------------------------------------------------
 
 

@@ -73,3 +73,31 @@ def ark(spark: SparkSession, path: str) -> DataFrame:
     utterances = spark.read.text(path, lineSep="]").select(F.concat(F.btrim("value", blank), F.lit("]")).alias("value")).where(F.contains("value", F.lit("[")))
     rows = utterances.select(name.alias("utt"), F.posexplode(body).alias("t", "row"))
     return rows.select("utt", "t", F.split(F.trim("row"), r"\s+").cast("array<float>").alias("x"))
+
+
+def decode_lines(results: DataFrame) -> DataFrame:
+    """Lines ``words<TAB>(id)<TAB>score`` of results (id, words, score); no words is written NULL, silence and ends are left out."""
+    shown = F.filter("words", lambda w: ~w.isin("sil", "<eps>", "</s>"))
+    return results.select(F.format_string("%s\t(%s)\t%.6f", F.when(F.col("words").isNull(), "NULL").otherwise(F.array_join(shown, " ")), "id", "score").alias("value"))
+
+
+def dot_lines(arcs_: DataFrame) -> DataFrame:
+    """One edge line for each arc, as in a DOT file's body."""
+    label = F.when(F.col("ilabel") == F.col("olabel"), F.col("ilabel")).otherwise(F.concat_ws(":", "ilabel", "olabel"))
+    return arcs_.select(F.format_string('%s -> %s [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), label).alias("value"))
+
+
+def vector_text(x, each: int):
+    """Values joined by commas, a line break after every ``each``."""
+    places = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / each).cast("int"))
+    return F.when(F.size(x) > 0, F.array_join(F.transform(places, lambda k: F.array_join(F.slice(x, k * each + 1, F.lit(each)).cast("array<string>"), ",")), ",\n")).otherwise("")
+
+
+def scoring_lines(rows: DataFrame) -> DataFrame:
+    """Lines ``text<TAB>(id)`` with all blanks taken out of the text."""
+    return rows.select(F.concat(F.replace("text", F.lit(" "), F.lit("")), F.lit("\t("), F.col("id"), F.lit(")")).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One column of lines as text, replacing what is there."""
+    lines.write.mode("overwrite").text(path)
