@@ -189,7 +189,7 @@ class Mix:
     def uses(self) -> DataFrame:
         """Each piece of a row with the words that each slot takes of it."""
         taken = F.least(F.col("_to"), F.col("_words")) - F.col("_from")
-        return self.pieces().join(self.slots(), ["_index", "_block"]).withColumn("_taken", F.greatest(taken, F.lit(0))).where("_taken > 0")
+        return self.pieces().join(self.slots().hint("merge"), ["_index", "_block"]).withColumn("_taken", F.greatest(taken, F.lit(0))).where("_taken > 0")
 
 
 def _local_offsets(batches):
@@ -211,7 +211,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return mix.offsets().select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("taken"))
     taken = mix.uses().groupBy("_index", "_first", "_id").agg(F.sum("_taken").alias("taken"))
     rows = mix.offsets()
-    some = rows.where("_size > 0").join(taken, ["_index", "_first", "_id"], "left")
+    some = rows.where("_size > 0").join(taken.hint("merge"), ["_index", "_first", "_id"], "left")
     none = rows.where("_size = 0").withColumn("taken", F.lit(0).cast("long"))
     both = some.unionByName(none)
     return both.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
