@@ -1,11 +1,15 @@
 """Operator 9, scoring of texts by a Brown class-based bigram model trained on the corpus.
 
 The score of a text is the sum over its tokens of log10 P(class | class before) +
-log10 P(word | class).  Exchange clustering puts the CLUSTERED most frequent training
-words into CLASSES classes (it maximises the likelihood of the class bigrams, moving one
-word at a time); this vocabulary is the bounded sample the classes are fitted on.  All
-other words belong to classes by the size of their count, unseen words to the class of
-words seen once.  Counts, class transitions and emissions come from all training rows.
+log10 P(word | class).  Exchange clustering puts the most frequent training words into
+classes (it maximises the likelihood of the class bigrams, moving one word at a time).
+These words and the classes grow with the vocabulary: CLUSTERED words or the square root
+of the number of types if that is more, and CLASSES classes times the square root of the
+growth.  A distributed pass counts the neighbours of every other training word against
+these classes, text edges and words without a class yet, and puts it where the likelihood
+gains most.  A word seen once counts for UNSEEN of its occurrence as an unseen word, so that
+unseen words have a class of their own with transitions.  Counts, class transitions and
+emissions come from all training rows.
 
 No vocabulary is gathered in one place: documents are packed into blocks of about
 BLOCK_BYTES, the distinct words of each block are joined with the counts of the whole
@@ -18,6 +22,8 @@ count 0; an empty table gives an empty result; other columns do not matter.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,12 +35,13 @@ from lattiq.llm.common import Scratch, Words, arrow, documents, rows_of
 CLUSTERED = 1000
 CLASSES = 60
 SWEEPS = 3
-BANDS = 8
 BLOCK_BYTES = 4_000_000
-#: Share of the class of words seen once that goes to unseen words.
+#: Neighbour counts that one task holds at a time, about.
+ENTRIES = 4_000_000
+#: Share of words seen once that goes to unseen words.
 UNSEEN = 0.5
-RARE = CLASSES  # words seen at most once; then the bands of larger counts
-EDGE = CLASSES + BANDS  # the class of text ends, and of what stands before a text
+#: Marks, beside its class, a word seen once.
+ONCE = 1 << 15
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
@@ -77,47 +84,81 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "block long, word long, n int")
 
 
-def bigrams(blocks: DataFrame, frequent: np.ndarray) -> np.ndarray:
-    """Counts of neighbours among the frequent words in training texts."""
+def vocabulary_size(types: int) -> tuple[int, int]:
+    """Words that exchange clustering takes of so many types, and the classes it puts them into."""
+    k = max(CLUSTERED, math.isqrt(types))
+    return k, int(CLASSES * math.sqrt(k / CLUSTERED))
+
+
+def laid_out(train: list[bool], texts: list[str | None], known: np.ndarray, values: np.ndarray, other: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the training texts one after the other, edges between them, and the value of each: of known (sorted) words their own."""
+    parts = [x for used, t in zip(train, texts, strict=True) if used for x in (np.zeros(1, np.int64), Words(t, lower=True).grams(1))]
+    h = np.concatenate([*parts, np.zeros(1, np.int64)])
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    value = np.where(known[at] == h, values[at], other)
+    value[np.cumsum([0, *(len(a) + len(b) for a, b in zip(parts[::2], parts[1::2], strict=True))])] = edge
+    return h, value
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out, back = np.unique(keys, return_inverse=True)
+    return out, np.bincount(back, n, len(out)).astype(np.int64)
+
+
+def bigrams(blocks: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours (a, b, n) in training texts, one of them frequent at least; k stands for other words, k + 1 for edges."""
     k = len(frequent)
-    if not k:
-        return np.zeros((0, 0))
-    shared = blocks.sparkSession.sparkContext.broadcast(frequent)
+    order = np.argsort(frequent)
+    shared = blocks.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def run(batches):
-        known, total = shared.value, np.zeros(k * k, np.int64)
-        order = np.sort(known)
-        rank = np.argsort(known)
+        held, size = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in summed(*map(np.concatenate, zip(*held, strict=True)))], names=["pair", "n"])
+
         for _, _, train, texts in block_texts(batches):
-            for used, text in zip(train, texts, strict=True):
-                if used and len(h := Words(text, lower=True).grams(1)) > 1:
-                    at = np.minimum(np.searchsorted(order, h), k - 1)
-                    index = np.where(order[at] == h, rank[at], -1)
-                    a, b = index[:-1], index[1:]
-                    both = (a >= 0) & (b >= 0)
-                    np.add.at(total, a[both] * k + b[both], 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
-
-    table = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most CLUSTERED**2 rows
-    out = np.zeros(k * k)
-    out[table["pair"].to_numpy()] = table["n"].to_numpy()
-    return out.reshape(k, k)
+            _, index = laid_out(train, texts, *shared.value, k, k + 1)
+            a, b = index[:-1], index[1:]
+            some = (a < k) | (b < k)
+            held.append(np.unique(a[some] * (k + 2) + b[some], return_counts=True))
+            size += len(held[-1][0])
+            if size > ENTRIES:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    table = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # pairs of the frequent words only
+    pair = table["pair"].to_numpy()
+    return pair // (k + 2), pair % (k + 2), table["n"].to_numpy().astype(float)
+
+
+def f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
 
 def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """Classes of words, most frequent first, by exchange clustering of their bigram counts."""
-    k = len(pairs)
+    a, b = np.nonzero(pairs)
+    return exchange_pairs(len(pairs), a, b, pairs[a, b], classes, sweeps)
+
+
+def exchange_pairs(k: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
+    """Exchange clustering of k words by the counts n of the neighbours a, b."""
     own = np.arange(k) % classes
-    f = lambda x: x * np.log(np.maximum(x, 1))
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    to, n_to, from_, n_from = b[by_a], n[by_a], a[by_b], n[by_b]
+    cut_a, cut_b = np.searchsorted(a[by_a], np.arange(k + 1)), np.searchsorted(b[by_b], np.arange(k + 1))
     both = np.zeros((classes, classes))
-    np.add.at(both, (own[:, None], own[None, :]), pairs)
+    np.add.at(both, (own[a], own[b]), n)
     for _ in range(sweeps):
         moved = 0
         for w in range(k):
-            old, self_n = own[w], pairs[w, w]
-            right = np.bincount(own, pairs[w], classes)
-            left = np.bincount(own, pairs[:, w], classes)
+            x, y = slice(cut_a[w], cut_a[w + 1]), slice(cut_b[w], cut_b[w + 1])
+            old, self_n = own[w], n_to[x][to[x] == w].sum()
+            right = np.bincount(own[to[x]], n_to[x], classes)
+            left = np.bincount(own[from_[y]], n_from[y], classes)
             right[old] -= self_n
             left[old] -= self_n
             both[old] -= right
@@ -142,6 +183,90 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return own
 
 
+def neighbours(blocks: DataFrame, frequent: np.ndarray, own: np.ndarray, classes: int, buckets: int) -> DataFrame:
+    """Counts of each other word's neighbours by class in each block, in buckets of words: bucket, words, codes, n."""
+    schema = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("codes", pa.binary()), ("n", pa.binary())])
+    kinds = classes + 2  # classes, other words, edges; codes from kinds on are of the word behind
+    order = np.argsort(frequent)
+    shared = blocks.sparkSession.sparkContext.broadcast((frequent[order], own[order]))
+
+    def run(batches):
+        for _, _, train, texts in block_texts(batches):
+            h, value = laid_out(train, texts, *shared.value, classes, classes + 1)
+            at = np.flatnonzero(value == classes)
+            words, back = np.unique(h[at], return_inverse=True)
+            key, n = np.unique(np.concatenate((back * 2 * kinds + value[at - 1], back * 2 * kinds + kinds + value[at + 1])), return_counts=True)
+            word, code, n = words[key // (2 * kinds)], (key % (2 * kinds)).astype(np.uint16), n.astype(np.int32)
+            bucket = ((word.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            word, code, n, bucket = word[by], code[by], n[by], bucket[by]
+            names, begin = np.unique(bucket, return_index=True)
+            out = [(int(g), word[x:y].tobytes(), code[x:y].tobytes(), n[x:y].tobytes()) for g, x, y in zip(names, begin, np.append(begin, len(word))[1:], strict=True)]
+            yield arrow(schema, out)
+
+    return blocks.mapInArrow(run, "bucket int, words binary, codes binary, n binary")
+
+
+def assigned(found: DataFrame, right: np.ndarray, left: np.ndarray) -> DataFrame:
+    """Each word of the buckets with its count and the class whose likelihood it raises most: word, c, g.
+
+    right and left: counts of each class (rows) before and behind each kind of neighbour (columns).
+    """
+    kinds = right.shape[1]
+    shared = found.sparkSession.sparkContext.broadcast(np.concatenate((left, right), 1).T.copy())
+    schema = pa.schema([("word", pa.int64()), ("c", pa.int64()), ("g", pa.int32())])
+
+    def choose(table):
+        have = shared.value  # by code, then class
+        base, cols, rows = f(have), have[:kinds].sum(0), have[kinds:].sum(0)
+        once = f(have + 1) - base
+        word, code, n = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("words", np.int64), ("codes", np.uint16), ("n", np.int32)))
+        words, back = np.unique(word, return_inverse=True)
+        key, n = summed(back * 2 * kinds + code, n)
+        who, code = key // (2 * kinds), key % (2 * kinds)
+        c = np.bincount(who, np.where(code < kinds, n, 0), len(words))
+        g = np.zeros(len(words), np.int32)
+        begin = np.searchsorted(who, np.arange(len(words) + 1))
+        lo = 0
+        while lo < len(words):  # about 50,000 counts at a time, whole words
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + 50_000, side="right")) - 1)
+            x = slice(begin[lo], begin[hi])
+            gain = once[code[x]]
+            several = np.flatnonzero(n[x] > 1)
+            at = code[x][several]
+            gain[several] = f(have[at] + n[x][several][:, None]) - base[at]
+            total = np.add.reduceat(gain, begin[lo:hi] - begin[lo], axis=0)
+            m = c[lo:hi][:, None]
+            total -= f(rows + m) - f(rows) + f(cols + m) - f(cols)
+            g[lo:hi] = np.argmax(total, 1)
+            lo = hi
+        return pa.Table.from_arrays([pa.array(words), pa.array(c.astype(np.int64)), pa.array(g)], schema=schema)
+
+    return found.groupBy("bucket").applyInArrow(choose, "word long, c long, g int")
+
+
+def word_classes(blocks: DataFrame, counts: DataFrame, types: int, tokens: int) -> tuple[DataFrame, int]:
+    """The class of every training word with its count (word, c, g), and the number of classes."""
+    spark = blocks.sparkSession
+    size, classes = vocabulary_size(types)
+    top = counts.orderBy(F.desc("c"), "word").limit(size).toArrow()
+    frequent, c = top["word"].to_numpy(), top["c"].to_numpy()
+    k = len(frequent)
+    if not k:
+        return counts.select("word", "c", F.lit(0).alias("g")), classes
+    a, b, n = bigrams(blocks, frequent)
+    inner = (a < k) & (b < k)
+    own = exchange_pairs(k, a[inner], b[inner], n[inner], classes, SWEEPS)
+    kind = np.concatenate((own, [classes, classes + 1]))
+    right, left = np.zeros((classes, classes + 2)), np.zeros((classes, classes + 2))
+    np.add.at(right, (own[a[a < k]], kind[b[a < k]]), n[a < k])
+    np.add.at(left, (own[b[b < k]], kind[a[b < k]]), n[b < k])
+    seeds = spark.createDataFrame([(int(w), int(m), int(g)) for w, m, g in zip(frequent, c, own, strict=True)], "word long, c long, g int")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // ENTRIES))
+    rest = assigned(neighbours(blocks, frequent, own, classes, buckets), right, left)
+    return seeds.unionByName(rest), classes
+
+
 def held_out(col: Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % 7 == 2, F.lit(False))
 
@@ -156,30 +281,28 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     trained = blocks.select(F.explode("train").alias("t")).where("t").count()  # the end of each training text is a token
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, n_types = int(stats[0]) + trained, int(stats[1]) + bool(trained)
-    top = counts.orderBy(F.desc("c"), "word").limit(CLUSTERED).toArrow()
-    frequent = top["word"].to_numpy()
-    own = exchange(bigrams(blocks, frequent), CLASSES, SWEEPS)
-    clustered = spark.createDataFrame([(int(w), int(g)) for w, g in zip(frequent, own, strict=True)], "word long, g int")
-    band = F.when(F.col("c") <= 1, F.lit(RARE)).otherwise(F.lit(RARE) + F.least(F.floor(F.log2("c")), F.lit(BANDS - 1))).cast("int")
-    classed = counts.join(F.broadcast(clustered), "word", "left").select("word", "c", F.coalesce("g", band).alias("g"))
-    by_class = classed.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("types")).collect()  # a row for each class
-    totals, types = {r["g"]: r["n"] for r in by_class}, {r["g"]: r["types"] for r in by_class}
+    classed, classes = word_classes(blocks, counts, n_types, n_all)
+    classed = scratch.keep(classed, "classed")
+    rare, edge = classes, classes + 1  # unseen words; text ends, and what stands before a text
+    used = F.when(F.col("c") == 1, 1 - UNSEEN).otherwise(F.col("c"))
+    by_class = classed.groupBy("g").agg(F.sum(used).alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect()  # a row for each class
     slices = scratch.keep(words.select("block", "word").join(classed, "word"), "slices")
     scratch.drop("words", "counts")
-    total = np.ones(EDGE + 1)
-    for g, n in totals.items():
-        total[g] = n
+    total = np.ones(classes)
+    for r in by_class:
+        total[r["g"]] = r["n"]
     base_all = np.log10(n_all + n_types + 1)
     # words never seen are taken to be as many as those seen once
-    unseen = np.log10((UNSEEN if totals.get(RARE) else 1.0) / (types.get(RARE, 0) + 1))
+    unseen = -np.log10(sum(r["once"] for r in by_class) + 1)
     out_schema = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("emission", pa.float64()), ("classes", pa.binary())])
 
     def encode(left, right):
         word, c, g = (right.column(n).to_numpy() for n in ("word", "c", "g"))
         order = np.argsort(word)
-        word, c, g = word[order], c[order], g[order].astype(np.uint8)
+        word, c, g = word[order], c[order], g[order]
         log_base = np.log10(c + 1.0) - base_all
-        log_emit = np.log10(c / total[g]) + np.where(g == RARE, np.log10(1 - UNSEEN), 0)
+        log_emit = np.log10(np.where(c == 1, 1 - UNSEEN, c) / total[g])
+        mark = (g | np.where(c == 1, ONCE, 0)).astype(np.uint16)
         out = []
         for _, ids, train, texts in block_texts(left.to_batches()):
             for key, used, text in zip(ids, train, texts, strict=True):
@@ -193,32 +316,43 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
                 known = int(seen.sum())
                 base = log_base[hit].sum() - base_all * (len(h) - known) + np.log10(trained + 1.0) - base_all
                 emit = log_emit[hit].sum() + unseen * (len(h) - known)
-                classes = np.full(len(h), RARE, np.uint8)
-                classes[seen] = g[hit]
-                out.append((key, used, len(h) + 1, known + bool(trained), float(base), float(emit), classes.tobytes()))
+                marks = np.full(len(h), rare, np.uint16)
+                marks[seen] = mark[hit]
+                out.append((key, used, len(h) + 1, known + bool(trained), float(base), float(emit), marks.tobytes()))
         return pa.Table.from_batches([arrow(out_schema, out)])
 
     encoded = blocks.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(encode, "id long, train boolean, n_tokens long, n_known long, base_score double, emission double, classes binary")
     encoded = scratch.keep(encoded, "encoded", "zstd")
-    scratch.drop("blocks", "slices")
+    scratch.drop("blocks", "slices", "classed")
+
+    def framed(data: bytes) -> np.ndarray:
+        return np.concatenate(([edge], np.frombuffer(data, np.uint16).astype(np.int64), [edge]))
 
     def pairs_of(data: bytes) -> np.ndarray:
-        g = np.frombuffer(data, np.uint8).astype(np.int64)
-        return np.concatenate(([EDGE], g)) * (EDGE + 1) + np.concatenate((g, [EDGE]))
+        g = framed(data) & (ONCE - 1)
+        return g[:-1] * (edge + 1) + g[1:]
 
     def transitions(batches):
-        seen = np.zeros((EDGE + 1) ** 2, np.int64)
+        seen = np.zeros((edge + 1) ** 2)
         for rows in rows_of(batches, "train", "classes"):
             for used, data in rows:
                 if used:
-                    seen += np.bincount(pairs_of(data), minlength=len(seen))
+                    mark = framed(data)
+                    g, part = mark & (ONCE - 1), np.where(mark & ONCE, UNSEEN, 0.0)
+                    a, b, x, y = g[:-1], g[1:], part[:-1], part[1:]
+                    seen += np.bincount(a * (edge + 1) + b, (1 - x) * (1 - y), len(seen))
+                    if part.any():  # words seen once stand for unseen ones in part
+                        i, j = np.flatnonzero(x), np.flatnonzero(y)
+                        seen += np.bincount(rare * (edge + 1) + b[i], x[i] * (1 - y[i]), len(seen))
+                        seen += np.bincount(a[j] * (edge + 1) + rare, (1 - x[j]) * y[j], len(seen))
+                        seen[rare * (edge + 1) + rare] += (x * y).sum()
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "n"])
 
-    table = encoded.select("train", "classes").mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most (EDGE + 1)**2 rows
-    n = np.zeros((EDGE + 1) ** 2)
+    table = encoded.select("train", "classes").mapInArrow(transitions, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most (edge + 1)**2 rows
+    n = np.zeros((edge + 1) ** 2)
     n[table["pair"].to_numpy()] = table["n"].to_numpy()
-    n = n.reshape(EDGE + 1, EDGE + 1)
+    n = n.reshape(edge + 1, edge + 1)
     single = (n.sum(0) + 1) / (n.sum() + len(n))
     rows, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
     log_p = np.log10((n + np.maximum(kinds, 1) * single) / (rows + np.maximum(kinds, 1))).ravel()

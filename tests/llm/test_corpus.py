@@ -245,3 +245,12 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     for name, f in queries.QUERIES.items():
         if name != "op8_ann":
             assert f(spark, str(tmp_path)).count() == len(rows), name
+
+
+def test_words_beyond_the_clustered_have_classes_of_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CLUSTERED", 4)
+    monkeypatch.setattr(lm_scoring, "CLASSES", 4)
+    rows = [(i, " ".join(f"a n{(i + j) % 90} b v{(i + j) % 90}" for j in range(3))) for i in range(90)]
+    rows += [(900 + i, f"a n{i} b") for i in range(90)] + [(2000 + i, f"a v{i} b") for i in range(90)]
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 900).collect()}
+    assert all(got[900 + i] > got[2000 + i] + 0.1 for i in range(90))
