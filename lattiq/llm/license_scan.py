@@ -1,8 +1,11 @@
 """Operator 6, licence scan by sentence rules.
 
-Texts are cut into sentences (at line ends, and after ``. ! ?`` before white space), each
-sentence is normalised (A-Z lowered, every run of ASCII characters that are neither letters
-nor digits becomes one space) and mapped to the identifier of a known licence sentence.
+Texts are normalised: A-Z lowered, and every run of ASCII characters that are neither
+letters nor digits (comment leaders with them) becomes one mark that says what it holds: a
+sentence end (``. ! ?`` before white space, or a blank line), ``; :``, a line end, or none of
+these.  A known licence sentence may be wrapped over lines; it begins and ends at any of the
+three former marks, and a notice may have a leading subject (``this project is``).  Each
+sentence found is mapped to its identifier.
 The identifiers of a document, in text order, are matched against ordered rules: a rule
 holds when its identifiers occur in its order, other ones between them or not.
 
@@ -16,6 +19,8 @@ and null ids too; an empty table gives an empty result; other columns do not mat
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,13 +68,39 @@ ANCHORS = ("licen", "copyright", "permission", "warranty", "redistribution")
 assert all(any(a in s for a in ANCHORS) for s in SENTENCES.values())
 
 
+#: Leading subjects of notices; of those in SENTENCES too, so that others may stand in their place.
+SUBJECT = r"(?:(?:this|these|the|all|our)[ L](?:[a-z0-9]+[ L]){0,3}?(?:is|are)[ L]|it[ L]is[ L])"
+CORES = {re.sub("^this (work|software) is (?=licensed)", "", s): i for i, s in SENTENCES.items()}
+assert len(CORES) == len(SENTENCES)
+
+
+def sentence_pattern() -> str:
+    """Matches any known sentence in normalised text; group 1 is the sentence without its subject."""
+    notices, others = [], []
+    for s in sorted(CORES, key=len, reverse=True):
+        words = s.replace(" ", "[ CL]").replace("[ CL]http", "[ CLS]http")  # the address stands in a paragraph of its own
+        (notices if s.startswith(("licensed ", "released ")) else others).append(words)
+    return rf"(?<![^SCL])(?:{SUBJECT}(?=licensed|released))?({'|'.join(notices + others)})(?![^SCL])"
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the licence sentences of a text, in order, as text ``<1><7>``."""
-    low = lower_az(text)
-    cut = F.split(F.regexp_replace(low, r"([.!?])[ \t\r\f\x0B]+", "$1\n"), "\n")
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, f"<{i}>")])
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(s, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")))
-    found = F.array_join(F.transform(plain, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(""))), "")
+    low = marked = lower_az(text)
+    for found, mark in (
+        (r"[.!?][\"')\]]*(?=\s|$)", "S"),
+        (r"\n[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?=\n)", "S"),
+        (r"[;:](?=\s|$)", "C"),
+        (r"\n", "L"),
+        (r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "),
+        (r"[ CL]*+S[ CLS]*+", "S"),
+        (r"[ L]*+C[ CL]*+", "C"),
+        (r" *+L[ L]*+", "L"),
+        (r"^ | $", ""),
+    ):
+        marked = F.regexp_replace(marked, found, mark)
+    known = F.create_map(*[F.lit(x) for s, i in CORES.items() for x in (s, f"<{i}>")])
+    hits = F.regexp_extract_all(marked, F.lit(sentence_pattern()), F.lit(1))
+    found = F.array_join(F.transform(hits, lambda s: F.element_at(known, F.translate(s, "SCL", "   "))), "")
     anchored = None
     for a in ANCHORS:
         anchored = F.contains(low, F.lit(a)) if anchored is None else anchored | F.contains(low, F.lit(a))
@@ -92,6 +123,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+#: Sentences on lines of their own only, without other subjects; on the given tables its rows are those of the query.
 SQL = rf"""
 WITH known(s, id) AS (VALUES {', '.join(f"('{s}', '<{i}>')" for i, s in SENTENCES.items())}),
 rules(name, pattern) AS (VALUES {', '.join(f"('{n}', '%{'%'.join(f'<{i}>' for i in r)}%')" for n, r in RULES)}),

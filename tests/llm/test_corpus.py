@@ -254,3 +254,15 @@ def test_words_beyond_the_clustered_have_classes_of_their_neighbours(spark, monk
     rows += [(900 + i, f"a n{i} b") for i in range(90)] + [(2000 + i, f"a v{i} b") for i in range(90)]
     got = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 900).collect()}
     assert all(got[900 + i] > got[2000 + i] + 0.1 for i in range(90))
+
+
+def test_license_in_wrapped_text(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n'
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n *\n * 1. Redistributions of source code must retain the above copyright notice, this\n *    list of conditions and the following disclaimer.\n * 3. Neither the name of the copyright holder nor the names of its\n *    contributors may be used to endorse or promote products derived from\n *    this software without specific prior written permission.\n"
+    apache = '/* Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n * Unless required by law */'
+    cases = [(mit, "<3><4>", "MIT"), (gpl, "<10><11>", "GPL-3.0"), (bsd, "<15><16><17>", "BSD-2-Clause,BSD-3-Clause"), (apache, "<6><7><8>", "Apache-2.0")]
+    cases += [("This project is licensed under the MIT License.", "<2>", "MIT"), ("Released under the MIT License; see the file", "<1>", "MIT"), ("This project is not licensed under the MIT License.", "", "")]
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
