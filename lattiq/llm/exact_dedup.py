@@ -51,10 +51,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the copies: of equal texts the row with the largest id stays, with all its columns."""
-    groups = exact_groups(docs, id_col, text_col)
-    gone = Scratch(docs.sparkSession, "gone").keep(groups.where("not kept").select(id_col).distinct(), "gone")
-    return docs.join(sized(gone), id_col, "left_anti")
+    """One row of each text, with all its columns: that with the largest id, and one of them if it is repeated or all are null."""
+    scratch = Scratch(docs.sparkSession, "gone")
+    # written once, so that the key of a row is the same for all that read it
+    keyed = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed", "zstd")
+    groups = exact_groups(keyed.withColumn("_key", F.struct(id_col, "_row")), "_key", text_col)
+    gone = scratch.keep(groups.where("not kept").select("_key._row"), "gone")
+    return keyed.join(sized(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,15 +98,15 @@ def permute(j: np.ndarray, n: int, key: bytes, back: bool = False) -> np.ndarray
 class Mix:
     """The steps of one mix, as tables: sources, sizes with offsets, slots, and block uses."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, row_col: str | None = None) -> None:
         self.spark = spark = docs.sparkSession
         self.scratch, self.block, self.seed = Scratch(spark, "mix"), block_words, seed
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-        rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"))
+        rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("_row"))
         n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         # ties of (source, id) are ordered by size, so that the layout does not depend on the order of the input
         laid = rows.repartitionByRange(n, F.col("_source").asc_nulls_last(), F.col("_id"), F.col("_size")).sortWithinPartitions(F.col("_source").asc_nulls_last(), F.col("_id"), F.col("_size"))
-        self.rows = self.scratch.keep(laid.withColumns({"_part": F.spark_partition_id()}).mapInArrow(_local_offsets, "_id long, _source string, _size long, _part int, _at long"), "rows")
+        self.rows = self.scratch.keep(laid.withColumns({"_part": F.spark_partition_id()}).mapInArrow(_local_offsets, "_id long, _source string, _size long, _row long, _part int, _at long"), "rows")
         parts = self.rows.groupBy("_source", "_part").agg(F.sum("_size").alias("n")).collect()  # one row per source and partition it touches
         by: dict[str | None, list] = {}
         for r in parts:
@@ -140,7 +140,7 @@ class Mix:
 
     def offsets(self) -> DataFrame:
         """Each row with its source's figures and the place of its first word in the source."""
-        return self.rows.join(F.broadcast(self.begins), F.col("_begin").isNotNull() & self.rows["_source"].eqNullSafe(self.begins["_source"]) & (self.rows["_part"] == self.begins["_part"])).select("_id", "_size", "_index", "source_size", "target", (F.col("_begin") + F.col("_at")).alias("_first"))
+        return self.rows.join(F.broadcast(self.begins), F.col("_begin").isNotNull() & self.rows["_source"].eqNullSafe(self.begins["_source"]) & (self.rows["_part"] == self.begins["_part"])).select("_id", "_row", "_size", "_index", "source_size", "target", (F.col("_begin") + F.col("_at")).alias("_first"))
 
     def slots(self, shards: int = SHARDS) -> DataFrame:
         """All slots: shard, source index, slot, pass, block, and the words taken from the block."""
@@ -184,7 +184,7 @@ class Mix:
         rows = self.offsets().where("_size > 0").withColumn("_block", F.explode(F.sequence(lo, hi)))
         begin = F.greatest(F.col("_first"), F.col("_block") * b)
         end = F.least(F.col("_first") + F.col("_size"), (F.col("_block") + 1) * b)
-        return rows.select("_id", "_first", "_index", "_block", (begin - F.col("_block") * b).alias("_from"), (end - F.col("_block") * b).alias("_to"))
+        return rows.select("_id", "_row", "_first", "_index", "_block", (begin - F.col("_block") * b).alias("_from"), (end - F.col("_block") * b).alias("_to"))
 
     def uses(self) -> DataFrame:
         """Each piece of a row with the words that each slot takes of it."""
@@ -202,16 +202,16 @@ def _local_offsets(batches):
                 source, at = s, 0
             out.append(at)
             at += n
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_source", "_size", "_part")), pa.array(out, pa.int64())], names=["_id", "_source", "_size", "_part", "_at"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_source", "_size", "_row", "_part")), pa.array(out, pa.int64())], names=["_id", "_source", "_size", "_row", "_part", "_at"])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix(documents(spark, sf_dir))
     if not mix.sources:
         return mix.offsets().select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    taken = mix.uses().groupBy("_index", "_first", "_id").agg(F.sum("_taken").alias("taken"))
+    taken = mix.uses().groupBy("_index", "_first").agg(F.sum("_taken").alias("taken"))
     rows = mix.offsets()
-    some = rows.where("_size > 0").join(taken.hint("merge"), ["_index", "_first", "_id"], "left")
+    some = rows.where("_size > 0").join(taken.hint("merge"), ["_index", "_first"], "left")  # no two rows with words begin at one place
     none = rows.where("_size = 0").withColumn("taken", F.lit(0).cast("long"))
     both = some.unionByName(none)
     return both.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -222,15 +222,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Its text is the words that the pass takes, in order, joined by one space; all other
     columns are those of the document, and ``n_chars``, if there, is counted anew.  Rows
-    that the mix takes nothing from go.  Ids must not be null and not repeat.
+    that the mix takes nothing from go.  Ids may be null and repeat: rows have a key of their own.
     """
-    mix = Mix(docs, id_col, text_col, source_col)
+    # written once, so that the key of a row is the same for all that read it
+    keyed = Scratch(docs.sparkSession, "keyed").keep(docs.withColumn("_row", F.monotonically_increasing_id()), "docs", "zstd")
+    mix = Mix(keyed, id_col, text_col, source_col, row_col="_row")
     if not mix.sources:
         return docs.limit(0)
-    spans = mix.uses().groupBy("_id", "pass").agg(F.array_sort(F.collect_list(F.struct(((F.col("_block") * mix.block + F.col("_from")) - F.col("_first")).alias("a"), F.col("_taken").alias("n")))).alias("_spans"))
+    spans = mix.uses().groupBy("_row", "pass").agg(F.array_sort(F.collect_list(F.struct(((F.col("_block") * mix.block + F.col("_from")) - F.col("_first")).alias("a"), F.col("_taken").alias("n")))).alias("_spans"))
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     picked = F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["a"] + 1).cast("int"), s["n"].cast("int"))))
-    joined = docs.join(spans, docs[id_col] == spans["_id"]).withColumn("_words", words)
+    joined = keyed.join(spans, "_row").withColumn("_words", words)
     out = joined.withColumn(text_col, F.array_join(picked, " "))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))

@@ -22,3 +22,18 @@ def test_stages(spark, tmp_path):
     assert sum(len(r.text.split()) for r in four) == round(1.5 * sum(len(dict(rows)[i].split()) for i in (0, 3, 6)))
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.decoded_sha256) for r in out) == sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in four)
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "A b c d"), (1, "e f g"), (2, "e f g"), (None, "h i j k l"), (None, "h i j k l"), (None, "m n")]
+    df = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(pipeline.STAGES)
+    one = stage["exact_dedup"](spark, df, str(tmp_path))
+    assert one.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in one.collect()) == [(0, "h i j k l"), (0, "m n"), (1, "a b c d"), (2, "e f g")]
+    n = sum(len(t.split()) for _, t in rows)
+    out = stage["mixing"](spark, df, str(tmp_path)).collect()
+    assert sum(len(r.text.split()) for r in out) == round(1.5 * n) and any(r.doc_id is None for r in out)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    taken = pipeline.mixing.op4_mixing(spark, str(tmp_path)).collect()
+    assert len(taken) == len(rows) and sum(r.taken for r in taken) == round(1.5 * n) and all(r.taken <= 2 * r.size for r in taken)
