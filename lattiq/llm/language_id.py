@@ -188,6 +188,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, filters: Filters) -> DataFrame:
-    """The rows whose language can be told; ``und`` rows go.  All columns stay."""
+    """The rows whose language can be told, with all columns.
+
+    ``und`` rows go, and texts none of whose n-grams is known (score 0).  Without labels no
+    language can be told and no row stays.
+    """
     keep = docs.columns
-    return predict(docs, filters, keep).where("lang_pred <> 'und'").select(*keep)
+    return predict(docs, filters, keep).where("lang_pred <> 'und' and score > 0").select(*keep)

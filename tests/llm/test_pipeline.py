@@ -37,3 +37,11 @@ def test_null_and_repeated_ids(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     taken = pipeline.mixing.op4_mixing(spark, str(tmp_path)).collect()
     assert len(taken) == len(rows) and sum(r.taken for r in taken) == round(1.5 * n) and all(r.taken <= 2 * r.size for r in taken)
+
+
+def test_texts_without_a_known_gram_go(spark, tmp_path):
+    rows = [(i, "the thing that they think", "en") for i in range(40)] + [(100, "日本語の文章", "en"), (101, "the thing", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id for r in dict(pipeline.STAGES)["language_id"](spark, df, str(tmp_path)).collect()}
+    assert got == {*range(40), 101}
+    assert dict(pipeline.STAGES)["language_id"](spark, df.withColumn("lang", pipeline.F.lit(None).cast("string")), str(tmp_path)).count() == 0
