@@ -42,9 +42,13 @@ class Scratch:
         tune(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            root = tempfile.mkdtemp(prefix="lattiq-")  # only where the cluster names no folder, as in tests
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="lattiq-")  # one machine, one process, as in tests
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.path = spark, f"{root.rstrip('/')}/lattiq-{label}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # what the result still reads goes with the driver
 
     def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         df.write.mode("overwrite").option("compression", codec).parquet(f"{self.path}/{name}")
@@ -58,6 +62,31 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores until no column of df has them (in any case)."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def below(share: float) -> int:
+    """The bound for a hash of 63 bits below which a share of all rows lies; fine enough for any table."""
+    return min((1 << 63) - 1, max(0, int(share * (1 << 63))))
+
+
+def chosen(share, *cols):
+    """Rows in a sample of about that share, by a hash of the columns; share is a number or a column of bounds from ``below``."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1) < (share if not isinstance(share, (int, float)) else F.lit(below(share)))
+
+
 def lower_az(col):
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)

@@ -34,4 +34,6 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         at = at.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     at = scratch.keep(at, f"{name}-roots")
     least = at.groupBy("to").agg(F.min("node").alias("component"))
-    return scratch.keep(at.join(least, "to").select("node", "component"), name)
+    out = scratch.keep(at.join(least, "to").select("node", "component"), name)
+    scratch.drop(f"{name}-0", f"{name}-roots", *(f"{name}-{x}{k}" for k in range(1, len(steps) + 1) for x in ("step", "")))
+    return out

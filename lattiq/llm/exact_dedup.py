@@ -7,7 +7,9 @@ both of them leave with more than one row.
 Defined cases: a null text counts as empty, and all empty texts are one group; of equal
 texts the row with the largest id stays; rows that repeat one id are all marked as that
 id is; rows with a null id never stay while a row with an id has the same text; an empty
-table gives an empty result; other columns are neither read nor returned.
+table gives an empty result; other columns are neither read nor returned.  Very long texts
+are hashed whole.  ``drop_copies`` keeps one row of each text whatever the ids and the names
+of other columns.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, documents, lower_az
+from lattiq.llm.common import Scratch, documents, fresh, lower_az
 
 PREFIX_CHARS = 64
 #: Above this many rows a key table is joined by a shuffle and not by a broadcast.
 BROADCAST_ROWS = 200_000
+#: Groups above this size, or above 1 / HOT_SHARE of all rows, are joined with their rows by a broadcast of at most HOT_SHARE keys.
+HOT_ROWS = 500
+HOT_SHARE = 50_000
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -44,7 +49,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the digest of a row that is alone is for the report; the dedup does not use it
     rows = scratch.keep(members.select("_id", "_full", F.coalesce("_full", F.sha2("_text", 256)).alias("text_sha256")), "rows")
     groups = rows.where("_full is not null").groupBy("_full").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    several = rows.where("_full is not null").join(groups, "_full")
+    groups = scratch.keep(groups, "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.col("group_size") > max(HOT_ROWS, total // HOT_SHARE)  # no more than HOT_SHARE groups, whatever the rows
+    large = F.broadcast(groups.where(hot))
+    open_ = rows.where("_full is not null")
+    several = open_.join(large, "_full").unionByName(open_.join(large, "_full", "left_anti").join(groups.where(~hot), "_full"))
     alone = rows.where("_full is null").withColumns({"keep_id": F.col("_id"), "group_size": F.lit(1).cast("long")})
     both = several.unionByName(alone)
     return both.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
@@ -53,11 +63,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each text, with all its columns: that with the largest id, and one of them if it is repeated or all are null."""
     scratch = Scratch(docs.sparkSession, "gone")
+    row, key = fresh(docs, "_row", "_key")
     # written once, so that the key of a row is the same for all that read it
-    keyed = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed", "zstd")
-    groups = exact_groups(keyed.withColumn("_key", F.struct(id_col, "_row")), "_key", text_col)
-    gone = scratch.keep(groups.where("not kept").select("_key._row"), "gone")
-    return keyed.join(sized(gone), "_row", "left_anti").select(*docs.columns)
+    keyed = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "keyed", "zstd")
+    groups = exact_groups(keyed.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(row).alias("row"))), key, text_col)
+    gone = scratch.keep(groups.where("not kept").select(F.col(key)["row"].alias(row)), "gone")
+    return keyed.join(sized(gone), row, "left_anti").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,15 @@ language are counted, corrected for the filter's false positives (fill ** K_HASH
 queries), and the largest corrected count decides.
 
 The classifier is fitted on a bounded sample of labelled rows: ``sample_rows`` of them,
-chosen by a hash of the text, whole texts.  Prediction reads every whole text in one pass
+whole texts, chosen by a hash of text and row with equal shares for the languages (rare ones
+whole).  Prediction reads every whole text in one pass
 without a shuffle; the filter sent to executors has a fixed size.
 
 Defined cases: a text that is null or has no letter gives ``und`` and score 0; a text none
 of whose n-grams is known gets the most frequent training language and score 0; ties go
 to the smaller language name; without training rows every text is ``und``; repeated rows
-and null ids are rows like others; an empty table gives an empty result; other columns do
-not matter.
+and null ids are rows like others; very long texts are read whole; an empty table gives an
+empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lattiq.llm.common import arrow, documents, mix, rows_of, tune
+from lattiq.llm.common import below, chosen, documents, mix, rows_of, tune
 
 SIZES = (3, 4)
 CLAIM = 0.3
@@ -80,15 +82,22 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 class Filters:
     """The bit-sliced filter: masks[plane][slot] has bit l if language 64 * plane + l claims it."""
 
-    def __init__(self, langs: list[str], common: str | None, claims: dict[str, np.ndarray]) -> None:
-        self.langs, self.common = langs, common
-        self.masks = np.zeros((max(1, -(-len(langs) // 64)), 1 << SLOT_BITS), np.uint64)
+    def __init__(self, langs: list[str], common: str | None, masks: np.ndarray, false: np.ndarray) -> None:
+        self.langs, self.common, self.masks, self.false = langs, common, masks, false
+
+    @classmethod
+    def of(cls, langs: list[str], common: str | None, claims: dict[str, np.ndarray]) -> Filters:
+        masks = np.zeros((max(1, -(-len(langs) // 64)), 1 << SLOT_BITS), np.uint64)
         fill = []
         for i, lang in enumerate(langs):
             for s in slots(claims[lang]):
-                self.masks[i // 64, s] |= np.uint64(1) << np.uint64(i % 64)
-            fill.append(float((self.masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean()))
-        self.false = np.array(fill) ** K_HASHES
+                masks[i // 64, s] |= np.uint64(1) << np.uint64(i % 64)
+            fill.append(float((masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean()))
+        return cls(langs, common, masks, np.array(fill) ** K_HASHES)
+
+    def parts(self) -> tuple:
+        """Plain values and arrays, which executors can read without this package."""
+        return self.langs, self.common, self.masks, self.false
 
     def predict(self, texts: list[str | None], letters: np.ndarray) -> list[tuple[str, float]]:
         h, who, count = gram_hashes([t or "" for t in texts], letters)
@@ -114,12 +123,24 @@ class Filters:
         return out
 
 
+def stratified(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """About sample_rows rows, as many of each language as there are or an equal share of what others leave."""
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    left, quota = float(sample_rows), {}
+    for i, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        quota[lang] = min(sizes[lang], left / (len(sizes) - i))
+        left -= quota[lang]
+    bound = F.create_map(*[F.lit(x) for lang in sizes for x in (lang, below(quota[lang] / sizes[lang]))])
+    # rows with one text differ by their numbers, so a hot text is neither taken nor left as a whole
+    return rows.withColumn("_n", F.monotonically_increasing_id()).where(chosen(F.element_at(bound, F.col("lang")), "text", "_n")).drop("_n")
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Filters:
     """Fit on at most about sample_rows rows whose text and label are not null."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     total = rows.count()
     if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / total))
+        rows = stratified(rows, sample_rows)
 
     def count(batches):
         letters, seen = letter_table(), {}
@@ -145,22 +166,21 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     claimed = share >= CLAIM * most[back]
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     common = min(counts, key=lambda x: (-counts[x], x)) if counts else None
-    return Filters(langs, common, {x: gram[claimed & (lang == x)] for x in langs})
+    return Filters.of(langs, common, {x: gram[claimed & (lang == x)] for x in langs})
 
 
-def predict(docs: DataFrame, filters: Filters, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in keep, with lang_pred and score."""
+def identified(docs: DataFrame, filters: Filters, keep: list[str], text_col: str = "text") -> DataFrame:
+    """(row, lang_pred, score); row holds the columns in keep, so that their names clash with none."""
     spark = docs.sparkSession
     tune(spark)
-    shared = spark.sparkContext.broadcast(filters)
-    source = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = docs.select(*keep).schema
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", lang_pred string, score double"
+    shared = spark.sparkContext.broadcast(filters.parts())
+    source = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    kind = T.StructType([source.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        letters = letter_table()
+        letters, filters = letter_table(), Filters(*shared.value)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             found: list[tuple[str, float]] = []
             part: list = []
             size = 0
@@ -168,13 +188,18 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str], text_col: str =
                 part.append(t)
                 size += len(t or "")
                 if size > 300_000:
-                    found += shared.value.predict(part, letters)
+                    found += filters.predict(part, letters)
                     part, size = [], 0
-            found += shared.value.predict(part, letters) if part else []
-            cols = [batch.column(c) for c in keep] + [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
+            found += filters.predict(part, letters) if part else []
+            cols = [batch.column("row"), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "lang_pred", "score"])
+
+    return source.mapInArrow(run, kind)
+
 
-    return source.mapInArrow(run, out_schema)
+def predict(docs: DataFrame, filters: Filters, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns in keep, with lang_pred and score."""
+    return identified(docs, filters, keep, text_col).select("row.*", "lang_pred", "score")
 
 
 def held_out(col: Column) -> Column:
@@ -193,5 +218,4 @@ def keep_identified(docs: DataFrame, filters: Filters) -> DataFrame:
     ``und`` rows go, and texts none of whose n-grams is known (score 0).  Without labels no
     language can be told and no row stays.
     """
-    keep = docs.columns
-    return predict(docs, filters, keep).where("lang_pred <> 'und' and score > 0").select(*keep)
+    return identified(docs, filters, docs.columns).where("lang_pred <> 'und' and score > 0").select("row.*")

@@ -3,8 +3,10 @@
 The words of each source, in id order, are packed into blocks of BLOCK_WORDS words.
 Targets follow the weights (water-filling under the cap of MOST times a source's size).
 For every output shard a multinomial draw over the quotas that are left gives the number
-of slots of each source, so that a source's slots add up to its target.  Slot j of a source
-is mapped through the source's own pseudorandom permutation of its block indices (one
+of slots of each source, so that a source's slots add up to its target; a shard owns the
+slots drawn for it, and ``packed_blocks`` returns the blocks by shard.  There is a shard for
+every SHARD_WORDS words of the mix, SHARDS at least and MOST_SHARDS at most (they then grow).
+Slot j of a source is mapped through the source's own pseudorandom permutation of its block indices (one
 permutation for every pass over the source; a keyed Feistel network, walked until it lands
 inside), and the slots are joined with the blocks by (source, index).  The last slot of a
 source takes the first words of its block only, so the words taken meet the target exactly
@@ -17,7 +19,7 @@ all rows is spread over many tasks; slots and blocks are joined row by row.
 Defined cases: a null text has size 0 and nothing is taken from it; a null source is a
 source of its own, last in order; sources without words have target 0; repeated rows and
 equal ids are packed one after the other; empty tables give empty results; other columns
-do not matter.  Reruns over the same rows give the same result.
+do not matter, whatever their names; very long texts span many blocks.  Reruns over the same rows give the same result.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, documents, rows_of
+from lattiq.llm.common import Scratch, documents, fresh, quoted, rows_of
 
 BLOCK_WORDS = 64
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
 SHARDS = 64
+SHARD_WORDS = 1 << 24
+MOST_SHARDS = 1 << 12
 SEED = 7
 
 
@@ -98,7 +102,7 @@ def permute(j: np.ndarray, n: int, key: bytes, back: bool = False) -> np.ndarray
 class Mix:
     """The steps of one mix, as tables: sources, sizes with offsets, slots, and block uses."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, row_col: str | None = None) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED, row_col: str | None = None) -> None:
         self.spark = spark = docs.sparkSession
         self.scratch, self.block, self.seed = Scratch(spark, "mix"), block_words, seed
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -135,6 +139,8 @@ class Mix:
             s["last_at"] = last_at
             s |= {"open": open_, "slots": passes * blocks + open_}
 
+        self.shards = shards or min(MOST_SHARDS, max(SHARDS, -(-sum(s["take"] for s in self.sources) // SHARD_WORDS)))
+
     def key(self, source: int, pass_: int) -> bytes:
         return f"{self.seed}/{source}/{pass_}".encode()
 
@@ -142,9 +148,9 @@ class Mix:
         """Each row with its source's figures and the place of its first word in the source."""
         return self.rows.join(F.broadcast(self.begins), F.col("_begin").isNotNull() & self.rows["_source"].eqNullSafe(self.begins["_source"]) & (self.rows["_part"] == self.begins["_part"])).select("_id", "_row", "_size", "_index", "source_size", "target", (F.col("_begin") + F.col("_at")).alias("_first"))
 
-    def slots(self, shards: int = SHARDS) -> DataFrame:
+    def slots(self) -> DataFrame:
         """All slots: shard, source index, slot, pass, block, and the words taken from the block."""
-        counts = shard_counts([s["slots"] for s in self.sources], shards, self.seed)
+        counts = shard_counts([s["slots"] for s in self.sources], self.shards, self.seed)
         upto = np.cumsum(counts, axis=0)
         plan, block = [dict(s) for s in self.sources], self.block
         chunk = 1 << 16
@@ -208,13 +214,51 @@ def _local_offsets(batches):
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix(documents(spark, sf_dir))
     if not mix.sources:
-        return mix.offsets().select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    taken = mix.uses().groupBy("_index", "_first").agg(F.sum("_taken").alias("taken"))
+        return mix.offsets().select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("n_shards"), F.lit(None).cast("int").alias("shard"))
+    taken = mix.uses().groupBy("_index", "_first").agg(F.sum("_taken").alias("taken"), F.count_distinct("shard").alias("n_shards"), F.min("shard").alias("shard"))
     rows = mix.offsets()
     some = rows.where("_size > 0").join(taken.hint("merge"), ["_index", "_first"], "left")  # no two rows with words begin at one place
-    none = rows.where("_size = 0").withColumn("taken", F.lit(0).cast("long"))
+    none = rows.where("_size = 0").withColumns({"taken": F.lit(0).cast("long"), "n_shards": F.lit(0).cast("long"), "shard": F.lit(None).cast("int")})
     both = some.unionByName(none)
-    return both.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return both.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_shards")), "shard")
+
+
+def picked_words(text: Column, spans: Column) -> Column:
+    """The words of a text at spans (a: first word, n: words), in order.
+
+    The words are an argument of a function, so that the text is split once and not once a span.
+    """
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = lambda w: F.flatten(F.transform(spans, lambda s: F.slice(w, (s["a"] + 1).cast("int"), s["n"].cast("int"))))
+    return F.transform(F.array(words), cut)[0]
+
+
+def spans_of(mix: Mix, *keys: str) -> DataFrame:
+    """The words taken (_spans, in order) of each row by the keys."""
+    span = F.struct(((F.col("_block") * mix.block + F.col("_from")) - F.col("_first")).alias("a"), F.col("_taken").alias("n"))
+    return mix.uses().groupBy("_row", *keys).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+
+
+def keyed_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, str, Mix]:
+    """The documents with a key column, its name, and their mix."""
+    row = fresh(docs, "_row")[0]
+    # written once, so that the key of a row is the same for all that read it
+    keyed = Scratch(docs.sparkSession, "keyed").keep(docs.withColumn(row, F.monotonically_increasing_id()), "docs", "zstd")
+    return keyed, row, Mix(keyed, id_col, text_col, source_col, row_col=row)
+
+
+def packed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The output shards: shard, place (order within the shard, pseudorandom over the sources), source index, block, text of up to BLOCK_WORDS words."""
+    keyed, row, mix = keyed_mix(docs, id_col, text_col, source_col)
+    kind = "shard int, place long, source int, block long, text string"
+    if not mix.sources:
+        return docs.sparkSession.createDataFrame([], kind)
+    slot = ["shard", "_index", "slot", "_block"]
+    pieces = spans_of(mix, *slot, "_from").withColumnRenamed("_row", row)
+    text = keyed.select(row, F.col(text_col).alias("_text")).join(pieces, row).select(*slot, "_from", F.array_join(picked_words(F.col("_text"), F.col("_spans")), " ").alias("_part"))
+    parts = F.array_sort(F.collect_list(F.struct("_from", "_part")))  # a block holds BLOCK_WORDS words at most
+    blocks = text.groupBy(*slot).agg(F.array_join(F.transform(parts, lambda p: p["_part"]), " ").alias("text"))
+    return blocks.select("shard", F.xxhash64(F.lit(mix.seed), "_index", "slot").alias("place"), F.col("_index").alias("source"), F.col("_block").alias("block"), "text")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -222,18 +266,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Its text is the words that the pass takes, in order, joined by one space; all other
     columns are those of the document, and ``n_chars``, if there, is counted anew.  Rows
-    that the mix takes nothing from go.  Ids may be null and repeat: rows have a key of their own.
+    that the mix takes nothing from go.  Ids may be null and repeat, and columns have any
+    names: rows have a key of their own.
     """
-    # written once, so that the key of a row is the same for all that read it
-    keyed = Scratch(docs.sparkSession, "keyed").keep(docs.withColumn("_row", F.monotonically_increasing_id()), "docs", "zstd")
-    mix = Mix(keyed, id_col, text_col, source_col, row_col="_row")
+    keyed, row, mix = keyed_mix(docs, id_col, text_col, source_col)
     if not mix.sources:
         return docs.limit(0)
-    spans = mix.uses().groupBy("_row", "pass").agg(F.array_sort(F.collect_list(F.struct(((F.col("_block") * mix.block + F.col("_from")) - F.col("_first")).alias("a"), F.col("_taken").alias("n")))).alias("_spans"))
-    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    picked = F.flatten(F.transform("_spans", lambda s: F.slice("_words", (s["a"] + 1).cast("int"), s["n"].cast("int"))))
-    joined = keyed.join(spans, "_row").withColumn("_words", words)
-    out = joined.withColumn(text_col, F.array_join(picked, " "))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    spans, text = fresh(keyed, "_spans", "_picked")
+    taken = spans_of(mix, "pass").select(F.col("_row").alias(row), F.col("_spans").alias(spans))
+    out = keyed.join(taken, row).withColumn(text, F.array_join(picked_words(F.col(quoted(text_col)), F.col(spans)), " "))
+    other = lambda c: F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(quoted(c))
+    return out.select(*(F.col(text).alias(c) if c == text_col else other(c) for c in docs.columns))

@@ -4,28 +4,28 @@ Documents are sets of distinct word shingles; two link when their Jaccard simila
 least THRESHOLD.  Only what is needed to know all components is verified:
 
 1. Documents with equal sets become one representative (by a 128-bit hash of the set).
-2. A document of n shingles can link only with documents that share one of the first
-   p = n - ceil(t n) + 1 of them, in any order that is the same for all.  Shingles in the
-   prefixes of HEAVY or more representatives are heavy, and cost many candidates.  A
-   document with h heavy shingles in its prefix gets a prefix lengthened by h, of which a
-   partner must share h + 1: so at least one that is not heavy.  Where a document has too
-   few light shingles, heavy ones (rarest first) fill its prefix, and it is lengthened by
-   one for every LENGTHEN of them, with as many more shared ones required before a pair is
-   verified.
-3. Every document is verified against the member it shares most with among the smallest
-   members of its shingles' lists.  This contracts groups of near copies along stars.
+2. All shingles have one order: light ones by hash, then heavy ones (in the prefixes of HEAVY
+   or more representatives), rarest first.  A document of n shingles shares l of its first
+   p + l - 1, p = n - ceil(t n) + 1, with every document it links with.  Each document chooses
+   its own l, up to LENGTHEN, by estimated cost: the entries of the lists that its prefix
+   meets, once for reading them, and VERIFY times their number divided by l for verifying the
+   candidates that share so many.  A pair must share the smaller l of the two.
+3. Every document with enough shared shingles is verified against the member it shares most
+   with among the smallest members of its shingles' lists.  This contracts groups of near
+   copies along stars.
 4. Lists that still hold several components are worked off: short ones by their pairs
    across components, long ones in blocks of members inside tasks, where only documents
-   outside the list's largest component are compared.  Pairs inside a component are never
-   made; no list is capped.
+   outside the list's largest component are held, with an index of their prefixes.  A block
+   joins components as it finds them, so it compares no pair inside one and gives a link
+   only where two components meet; no list is capped.
 
-Which shingles count as heavy is an estimate of cost and never changes the result; at most
-HEAVY_MOST of them (the most frequent) are sent to the executors.
+The estimates of cost, and which shingles count as heavy, never change the result; at most
+HEAVY_MOST heavy ones (the most frequent) are sent to the executors.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts of fewer
-words than WORDS have one shingle; rows that share an id are one document whose links are
-those of all its rows; rows with a null id get a null component; an empty table gives an
-empty result; other columns do not matter.
+words than WORDS have one shingle; very long texts have all of theirs; rows that share an id
+are one document whose links are those of all its rows; rows with a null id get a null
+component; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, Words, arrow, documents, mix, rows_of
+from lattiq.llm.common import Scratch, Words, arrow, documents, fresh, mix, rows_of
 from lattiq.llm.components import components
 from lattiq.llm.exact_dedup import sized
 
@@ -44,11 +44,13 @@ WORDS = 5
 THRESHOLD = (4, 5)
 HEAVY = 48
 HEAVY_MOST = 1_000_000
+#: Shared shingles that a document may ask for, and the cost of verifying a pair, in list entries read.
 LENGTHEN = 4
+VERIFY = 20
 #: Lists up to this length are worked off by pairs, longer ones in blocks of members with
 #: about BLOCK_SHINGLES shingles in all.
 PAIRS = 64
-BLOCK_SHINGLES = 100_000
+BLOCK_SHINGLES = 1_000_000
 #: Requests for texts up to this number are broadcast to the scan; more are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 HUB_ROWS = 200
@@ -68,6 +70,13 @@ def prefix_length(n: int) -> int:
     return n - -(-t * n // u) + 1
 
 
+def lengthening(p: int, counts: np.ndarray) -> int:
+    """The shared shingles l to ask for that cost least; counts: list entries of the first shingles in order, p of them at least."""
+    most = min(LENGTHEN, len(counts) - p + 1)
+    read = np.cumsum(counts)[p - 1 : p - 1 + most]
+    return 1 + int(np.argmin(read * (1 + VERIFY / np.arange(1, most + 1))))
+
+
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     t, u = THRESHOLD
     if u * min(len(x), len(y)) < t * max(len(x), len(y)):
@@ -78,7 +87,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(id, n, hi, lo, prefix) of each text: size, hash and first shingles in hash order."""
+    """(id, n, hi, lo, prefix) of each text: size, hash and first shingles in hash order, as many as the longest prefix has."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -89,19 +98,25 @@ def describe(docs: DataFrame) -> DataFrame:
                 v = s.view(np.uint64)
                 hi, lo = int(mix(v).sum(dtype=np.uint64)), int(mix(v ^ np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64))
                 as_long = lambda x: x - (1 << 64) if x >> 63 else x
-                out.append((key, len(s), as_long(hi), as_long(lo), s[: prefix_length(len(s))] if len(s) and key is not None else []))
+                out.append((key, len(s), as_long(hi), as_long(lo), s[: prefix_length(len(s)) + LENGTHEN - 1] if len(s) and key is not None else []))
             yield arrow(schema, out)
 
     return docs.mapInArrow(run, "id long, n long, hi long, lo long, prefix array<long>")
 
 
-def heavy_shingles(lists: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Heavy shingles, sorted, and their counts."""
-    counts = lists.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= HEAVY)
+def heavy_shingles(lists: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, float]:
+    """Heavy shingles, sorted, their counts, and the mean length of the list of another one."""
+    counts = lists.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    counts = scratch.keep(counts, "counts")
+    usual = counts.where(F.col("c") < HEAVY).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()
+    entries = (lists.agg(F.sum(F.size("prefix"))).first()[0] or 0) - (counts.agg(F.sum("c")).first()[0] or 0)  # in lists of one
+    mean = (usual[1] + entries) / max(1, usual[0] + entries)
+    counts = counts.where(F.col("c") >= HEAVY)
     top = counts.orderBy(F.desc("c"), "token").limit(HEAVY_MOST).toArrow()
     token, c = top["token"].to_numpy(), top["c"].to_numpy()
     order = np.argsort(token)
-    return token[order], c[order]
+    scratch.drop("counts")
+    return token[order], c[order], max(1.0, mean)
 
 
 def is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -123,14 +138,25 @@ POST = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()),
 
 def postings(lists: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(token, id, n, need): the adaptive prefixes of all representatives."""
-    heavy = lists.sparkSession.sparkContext.broadcast(heavy_shingles(lists))
+    heavy = lists.sparkSession.sparkContext.broadcast(heavy_shingles(lists, scratch))
+
+    def posted(found: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        size = [len(x[3]) for x in found]
+        spread = lambda k, t: pa.array(np.repeat(np.array([x[k] for x in found], t), size))
+        tokens = np.concatenate([x[3] for x in found]) if found else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(tokens), spread(0, np.int64), spread(1, np.int64), spread(2, np.int32)], schema=POST)
 
     def light(batches):
-        tokens = heavy.value[0]
+        tokens, _, usual = heavy.value
         for rows in rows_of(batches, "id", "n", "prefix"):
-            out = [x for x in rows if (is_in(tokens, np.array(x[2], np.int64)) < 0).all()]
-            size = [len(x[2]) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array([t for x in out for t in x[2]], pa.int64()), pa.array(np.repeat(np.array([x[0] for x in out], np.int64), size)), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), size)), pa.array(np.ones(sum(size), np.int32))], schema=POST)
+            out = []
+            for key, n, prefix in rows:
+                s = np.array(prefix, np.int64)
+                if (is_in(tokens, s) < 0).all():
+                    p = prefix_length(n)
+                    need = lengthening(p, np.full(len(s), usual))
+                    out.append((key, n, need, s[: p + need - 1]))
+            yield posted(out)
 
     def costly(batches):
         tokens = heavy.value[0]
@@ -138,17 +164,17 @@ def postings(lists: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield arrow(pa.schema([("id", pa.int64())]), [(x[0],) for x in rows if (is_in(tokens, np.array(x[1], np.int64)) >= 0).any()])
 
     def lengthened(batches):
-        tokens, counts = heavy.value
+        tokens, counts, usual = heavy.value
         for rows in rows_of(batches, "id", "text"):
             for key, text in rows:
                 s = shingles(text)
                 n, p = len(s), prefix_length(len(s))
                 at = is_in(tokens, s)
-                free, costs = s[at < 0], s[at >= 0]
-                costs = costs[np.argsort(counts[at[at >= 0]], kind="stable")]
-                need = 1 + -(-max(0, p - len(free)) // LENGTHEN)
-                first = np.concatenate([free, costs])[: p + need - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), key)), pa.array(np.full(len(first), n)), pa.array(np.full(len(first), need, np.int32))], schema=POST)
+                free, costs, c = s[at < 0], s[at >= 0], counts[at[at >= 0]]
+                order = np.argsort(c, kind="stable")
+                first = np.concatenate([free, costs[order]])[: p + LENGTHEN - 1]
+                need = lengthening(p, np.concatenate([np.full(len(free), usual), c[order]])[: len(first)])
+                yield posted([(key, n, need, first[: p + need - 1])])
 
     kind = "token long, id long, n long, need int"
     todo = scratch.keep(lists.select("id", "prefix").mapInArrow(costly, "id long"), "costly")
@@ -156,13 +182,12 @@ def postings(lists: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return lists.select("id", "n", "prefix").mapInArrow(light, kind).unionByName(more)
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that link.  The texts of a's partners meet a's text, HUB_ROWS or so at a time."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("k"))
     others = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("hub"))
     hubs = others.select("a", "part").distinct().select("a", "part", F.col("a").alias("id"), F.lit(True).alias("hub"))
     requests = others.unionByName(hubs)
-    scratch = Scratch(pairs.sparkSession, "requests")
     rows = with_text(scratch.keep(requests, "requests"), docs).select("a", "part", "hub", "id", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -183,16 +208,60 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("hub")).mapInArrow(run, "a long, b long")
 
 
-def long_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links across components among members (token, id, n, comp) of long lists.
+class Held:
+    """Documents held in a block: an index of their prefixes, and components that join as links are found.
+
+    Prefixes are in hash order here, which serves as well as any order that is the same for all.
+    """
+
+    def __init__(self, group: list[tuple], main: int) -> None:
+        self.sets = [shingles(g[3]) for g in group]
+        self.ids, self.need = [g[0] for g in group], np.array([g[2] for g in group])
+        names = {comp: i for i, comp in enumerate(dict.fromkeys([main, *(g[1] for g in group)]))}
+        self.name, self.up = names, list(range(len(names)))
+        self.comp = [names[g[1]] for g in group]
+        first = [self.prefix(s, need) for s, need in zip(self.sets, self.need, strict=True)]
+        both = np.concatenate(first)
+        order = np.argsort(both, kind="stable")
+        self.token, self.owner = both[order], np.repeat(np.arange(len(first)), list(map(len, first)))[order]
+
+    @staticmethod
+    def prefix(s: np.ndarray, need: int) -> np.ndarray:
+        return s[: prefix_length(len(s)) + need - 1]
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def links(self, key: int, comp: int, need: int, text: str) -> list[tuple[int, int]]:
+        """Links of a passing document, one for each other component that it joins."""
+        s = shingles(text)
+        p = self.prefix(s, need)
+        lo, hi = np.searchsorted(self.token, p), np.searchsorted(self.token, p, side="right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(self.owner[at], minlength=len(self.sets))
+        mine, out = self.name.get(comp), []
+        for i in np.flatnonzero(shared >= np.minimum(self.need, need)):
+            other = self.root(self.comp[i])
+            if (mine is None or self.root(mine) != other) and self.ids[i] != key and linked(s, self.sets[i]):
+                out.append((key, self.ids[i]))
+                if mine is not None:
+                    self.up[other] = self.root(mine)
+                mine = other if mine is None else mine  # a component without held members counts while its document passes
+        return out
+
+
+def long_lists(members: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links across components among members (token, id, n, need, comp) of long lists.
 
     Only members outside a list's largest component need a comparison.  They are held in
-    blocks of bounded shingles, with an index of these, and all members of the list pass by.  Lists
+    blocks of bounded shingles, with an index of prefixes, and all members of the list pass by.  Lists
     with the same largest component often have the same members (one group of near copies
     has a list for each shingle it shares), so they are worked off as one list where that
     makes fewer rows pass by than each list by itself.
     """
-    scratch = Scratch(members.sparkSession, "lists")
     rounds = lambda held: F.ceil(held / BLOCK_SHINGLES).cast("long")
     largest = members.groupBy("token", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("token")
     largest = largest.agg(F.max(F.struct("c", "comp", "n")).alias("m"), F.sum("c").alias("k"), F.sum("n").alias("n"))
@@ -202,45 +271,25 @@ def long_lists(members: DataFrame, docs: DataFrame) -> DataFrame:
     union = union.groupBy("main").agg(F.count("*").alias("k"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))).alias("held"))
     merged = apart.join(union, "main").select("main", rounds(F.col("held")).alias("all"), (F.col("k") * rounds(F.col("held")) < F.col("apart")).alias("merge"))
     lists = scratch.keep(largest.join(merged, "main").select("token", "main", F.when(F.col("merge"), F.lit(None)).otherwise(F.col("token")).alias("list"), F.when(F.col("merge"), F.col("all")).otherwise(F.col("own")).cast("int").alias("blocks")), "blocks")
-    own = members.join(lists, "token").select("list", "main", "blocks", "id", "comp").distinct()
-    few = own.where("comp <> main").select("list", "main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("held"), "id", "comp")
-    everyone = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "main", "block", F.lit(False).alias("held"), "id", "comp")
-    rows = with_text(scratch.keep(few.unionByName(everyone), "dealt"), docs).select("list", "main", "block", "held", "id", "comp", "text")
+    own = members.join(lists, "token").groupBy("list", "main", "blocks", "id", "comp").agg(F.min("need").alias("need"))
+    few = own.where("comp <> main").select("list", "main", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("held"), "id", "comp", "need")
+    everyone = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "main", "block", F.lit(False).alias("held"), "id", "comp", "need")
+    rows = with_text(scratch.keep(few.unionByName(everyone), "dealt"), docs).select("list", "main", "block", "held", "id", "comp", "need", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    t, u = THRESHOLD
-
-    class Held:
-        """An inverted index over the shingles of the documents held."""
-
-        def __init__(self, group: list[tuple]) -> None:
-            self.ids, self.comps = [g[0] for g in group], np.array([g[1] for g in group])
-            sets = [shingles(g[2]) for g in group]
-            self.size = np.array(list(map(len, sets)))
-            both = np.concatenate(sets)
-            order = np.argsort(both, kind="stable")
-            self.token, self.owner = both[order], np.repeat(np.arange(len(sets)), self.size)[order]
-
-        def partners(self, comp: int, s: np.ndarray) -> list[int]:
-            lo, hi = np.searchsorted(self.token, s), np.searchsorted(self.token, s, side="right")
-            n = hi - lo
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            both = np.bincount(self.owner[at], minlength=len(self.size))
-            hit = (u * both >= t * (self.size + len(s) - both)) & (self.comps != comp)
-            return [self.ids[i] for i in np.flatnonzero(hit)]
 
     def run(batches):
         name, waiting, held = None, [], None
-        for rows in rows_of(batches, "list", "main", "block", "held", "id", "comp", "text"):
+        for rows in rows_of(batches, "list", "main", "block", "held", "id", "comp", "need", "text"):
             out = []
-            for *key_of, mine, key, comp, text in rows:
+            for *key_of, mine, key, comp, need, text in rows:
                 if key_of != name:
                     name, waiting, held = key_of, [], None
                 if mine:
-                    waiting.append((key, comp, text))
+                    waiting.append((key, comp, need, text))
                     continue
                 if waiting:  # members are dealt by hash, and a block may get none
-                    held = held or Held(waiting)
-                    out += [(key, other) for other in held.partners(comp, shingles(text))]
+                    held = held or Held(waiting, name[1])
+                    out += held.links(key, comp, need, text)
             yield arrow(schema, out)
 
     return rows.repartition("list", "main", "block").sortWithinPartitions("list", "main", "block", F.desc("held")).mapInArrow(run, "a long, b long")
@@ -259,16 +308,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = scratch.keep(some.join(sets.select("hi", "lo", "n", F.col("rep").alias("id")), ["hi", "lo", "n", "id"], "left_semi").select("id", "n", "prefix").distinct(), "lists")
     posts = scratch.keep(postings(lists, texts, scratch), "all-posts")
     scratch.drop("lists")
-    seen = posts.groupBy("token").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1")
+    seen = posts.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("id", "need")).alias("m")).where("k > 1").select("token", "k", F.col("m.id").alias("hub"), F.col("m.need").alias("asked"))
     posts = scratch.keep(posts.join(seen, "token"), "posts")
     scratch.drop("all-posts")
 
-    stars = posts.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared")).groupBy("id").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("m"))
+    stars = posts.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared"), F.min(F.least("need", "asked")).alias("need"))
+    stars = stars.where("shared >= need").groupBy("id").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("m"))
     stars = scratch.keep(stars.select((-F.col("m.hub")).alias("a"), F.col("id").alias("b")), "stars")
-    found = scratch.keep(verify(stars, texts), "found")
+    found = scratch.keep(verify(stars, texts, scratch), "found")
+    scratch.drop("stars", "requests")
     comps = components(found, scratch, "comps")
 
-    at = scratch.keep(posts.drop("hub").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "at")
+    at = scratch.keep(posts.drop("hub", "asked").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "at")
     several = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     rest = scratch.keep(at.join(several, "token"), "rest")
     scratch.drop("at", "posts")
@@ -286,19 +337,32 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = F.col("shared") + F.greatest(behind(F.col("n"), F.col("need")), behind(F.col("m"), F.col("needs")))
     enough = (F.col("shared") >= F.least("need", "needs")) & (most * (t + u) >= (F.col("n") + F.col("m")) * t)
     pairs = scratch.keep(shared.where(enough).select("a", "b").distinct(), "pairs")
-    more = scratch.keep(verify(pairs, texts).unionByName(long_lists(long_.select("token", "id", "n", "comp"), texts)), "more")
+    more = scratch.keep(verify(pairs, texts, scratch).unionByName(long_lists(long_.select("token", "id", "n", "need", "comp"), texts, scratch)), "more")
+    scratch.drop("rest", "pairs", "requests", "largest", "blocks", "dealt")
     all_ = components(found.unionByName(more), scratch, "all")
     of_rep = member.join(all_.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     of_id = of_rep.groupBy("id").agg(F.min("component").alias("component"))
+    of_id = scratch.keep(of_id, "of_id")
+    scratch.drop("sets", "member", "found", "more", "costly", *(f"{k}-{i}" for k in ("comps", "all") for i in ("roots",)), "comps", "all")
     out = meta.select("id", "n").join(of_id, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with one document of each component, that with the smallest id; all columns stay."""
-    groups = near_components(docs, id_col, text_col)
-    gone = Scratch(docs.sparkSession, "gone").keep(groups.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct(), "gone")
-    return docs.join(sized(gone), id_col, "left_anti")
+    """The input with one row of each component of near copies, that with the smallest id; all columns stay.
+
+    Rows have keys of their own: ids may repeat and be null (null counts as the largest), and
+    columns have any names.  Rows without words all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "gone")
+    row, of = fresh(docs, "_row", "_of")
+    keyed = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "keyed", "zstd")
+    groups = near_components(keyed, row, text_col).select(row, F.col("component_id").alias(of))
+    several = scratch.keep(groups.groupBy(of).agg(F.count("*").alias("k")).where("k > 1").select(of), "several")
+    members = scratch.keep(groups.join(sized(several), of).join(keyed.select(row, F.col(id_col).alias("_id")), row), "members")
+    best = members.groupBy(of).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", row)).alias("best")).select(F.col("best")[row].alias(row))
+    gone = scratch.keep(members.select(row).join(best, row, "left_anti"), "gone")
+    return keyed.join(sized(gone), row, "left_anti").select(*docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
