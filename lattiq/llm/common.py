@@ -62,6 +62,24 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys with more rows than this, or than 1 / HOT_SHARE of all rows, are joined by a broadcast of at most HOT_SHARE keys.
+HOT_ROWS = 500
+HOT_SHARE = 50_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with a table of their keys, whose column size counts the rows of each key.
+
+    Both are scratch tables.  Rows of hot keys meet a broadcast and stay where they are; the others
+    are shuffled.  No more than HOT_SHARE keys can be hot, whatever the rows.
+    """
+    hot = F.col(size) > max(HOT_ROWS, rows.count() // HOT_SHARE)
+    if table.where(hot).isEmpty():
+        return rows.join(table.drop(size), keys)
+    large = F.broadcast(table.where(hot).drop(size))
+    return rows.join(large, keys).unionByName(rows.join(large.select(*keys), keys, "left_anti").join(table.where(~hot).drop(size), keys))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened by underscores until no column of df has them (in any case)."""
     have, out = {c.lower() for c in df.columns}, []

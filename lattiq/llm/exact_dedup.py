@@ -17,14 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, documents, fresh, lower_az
+from lattiq.llm.common import Scratch, documents, fresh, join_hot, lower_az
 
 PREFIX_CHARS = 64
 #: Above this many rows a key table is joined by a shuffle and not by a broadcast.
 BROADCAST_ROWS = 200_000
-#: Groups above this size, or above 1 / HOT_SHARE of all rows, are joined with their rows by a broadcast of at most HOT_SHARE keys.
-HOT_ROWS = 500
-HOT_SHARE = 50_000
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -49,12 +46,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the digest of a row that is alone is for the report; the dedup does not use it
     rows = scratch.keep(members.select("_id", "_full", F.coalesce("_full", F.sha2("_text", 256)).alias("text_sha256")), "rows")
     groups = rows.where("_full is not null").groupBy("_full").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = scratch.keep(groups, "groups")
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    hot = F.col("group_size") > max(HOT_ROWS, total // HOT_SHARE)  # no more than HOT_SHARE groups, whatever the rows
-    large = F.broadcast(groups.where(hot))
-    open_ = rows.where("_full is not null")
-    several = open_.join(large, "_full").unionByName(open_.join(large, "_full", "left_anti").join(groups.where(~hot), "_full"))
+    groups = scratch.keep(groups.withColumn("_n", F.col("group_size")), "groups")
+    several = join_hot(rows.where("_full is not null"), groups, ["_full"], "_n")
     alone = rows.where("_full is null").withColumns({"keep_id": F.col("_id"), "group_size": F.lit(1).cast("long")})
     both = several.unionByName(alone)
     return both.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

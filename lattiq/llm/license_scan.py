@@ -46,7 +46,55 @@ SENTENCES = {
     16: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     17: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     18: "this software is licensed under the bsd 3 clause license",
+    19: "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    20: "apache license version 2 0 january 2004 http www apache org licenses",
+    21: "licensed under the apache license 2 0",
+    22: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    23: "licensed under the bsd 2 clause license",
+    24: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    25: "licensed under the isc license",
+    26: "gnu general public license version 3 29 june 2007",
+    27: "gnu general public license version 2 june 1991",
+    28: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    29: "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    30: "gnu lesser general public license version 3 29 june 2007",
+    31: "gnu lesser general public license version 2 1 february 1999",
+    32: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    33: "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    34: "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    35: "gnu affero general public license version 3 19 november 2007",
+    36: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    37: "this source code form is subject to the terms of the mozilla public license v 2 0",
+    38: "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    39: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    40: "mozilla public license version 2 0",
+    41: "licensed under the mozilla public license version 2 0",
+    42: "this is free and unencumbered software released into the public domain",
+    43: "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    44: "this software is provided as is without any express or implied warranty",
+    45: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    46: "boost software license version 1 0 august 17th 2003",
+    47: "distributed under the boost software license version 1 0",
+    48: "this work is licensed under a creative commons attribution 4 0 international license",
+    49: "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    50: "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    51: "this work is licensed under the creative commons attribution 4 0 international license",
+    52: "this work is licensed under the creative commons attribution sharealike 4 0 international license",
+    53: "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
+    54: "licensed under cc0 1 0",
+    55: "mit license",
+    56: "the mit license mit",
+    57: "isc license",
+    58: "bsd 2 clause license",
+    59: "bsd 3 clause license",
+    60: "licensed under the gnu general public license version 2",
+    61: "licensed under the gnu lesser general public license version 3",
+    62: "licensed under the gnu affero general public license version 3",
 }
+#: Licence names of SPDX tags, in order of their sentence identifiers from SPDX_FROM on.
+SPDX_FROM = 100
+SPDX = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0"]
+SENTENCES |= {SPDX_FROM + i: "spdx license identifier " + re.sub("[-.]", " ", name.lower()) for i, name in enumerate(SPDX)}
 #: Ordered rules, licence name and the identifiers in order.
 RULES = [
     ("Apache-2.0", [5]),
@@ -63,8 +111,46 @@ RULES = [
     ("MIT", [1]),
     ("MIT", [2]),
     ("MIT", [3, 4]),
+    ("MIT", [55, 3]),
+    ("MIT", [56, 3]),
+    ("Apache-2.0", [20]),
+    ("Apache-2.0", [21]),
+    ("BSD-2-Clause", [23]),
+    ("BSD-2-Clause", [58, 15]),
+    ("BSD-3-Clause", [59, 15]),
+    ("ISC", [24]),
+    ("ISC", [25]),
+    ("GPL-3.0", [26]),
+    ("GPL-2.0", [27]),
+    ("GPL-2.0", [28, 11]),
+    ("GPL-2.0", [29, 11]),
+    ("GPL-2.0", [60]),
+    ("LGPL-3.0", [30]),
+    ("LGPL-2.1", [31]),
+    ("LGPL-2.1", [32, 34]),
+    ("LGPL-3.0", [33, 34]),
+    ("LGPL-3.0", [61]),
+    ("AGPL-3.0", [35]),
+    ("AGPL-3.0", [36, 11]),
+    ("AGPL-3.0", [62]),
+    ("MPL-2.0", [37, 38]),
+    ("MPL-2.0", [37, 39]),
+    ("MPL-2.0", [40]),
+    ("MPL-2.0", [41]),
+    ("Unlicense", [42, 43]),
+    ("Zlib", [44, 45]),
+    ("BSL-1.0", [46]),
+    ("BSL-1.0", [47]),
+    ("CC-BY-4.0", [48]),
+    ("CC-BY-SA-4.0", [49]),
+    ("CC-BY-NC-4.0", [50]),
+    ("CC-BY-4.0", [51]),
+    ("CC-BY-SA-4.0", [52]),
+    ("CC-BY-NC-4.0", [53]),
+    ("CC0-1.0", [54]),
+    *((name, [SPDX_FROM + i]) for i, name in enumerate(SPDX)),
 ]
-ANCHORS = ("licen", "copyright", "permission", "warranty", "redistribution")
+ANCHORS = ("licen", "copyright", "permission", "warranty", "redistribution", "mozilla", "public domain", "anyone is free")
 assert all(any(a in s for a in ANCHORS) for s in SENTENCES.values())
 
 
@@ -78,9 +164,9 @@ def sentence_pattern() -> str:
     """Matches any known sentence in normalised text; group 1 is the sentence without its subject."""
     notices, others = [], []
     for s in sorted(CORES, key=len, reverse=True):
-        words = s.replace(" ", "[ CL]").replace("[ CL]http", "[ CLS]http")  # the address stands in a paragraph of its own
-        (notices if s.startswith(("licensed ", "released ")) else others).append(words)
-    return rf"(?<![^SCL])(?:{SUBJECT}(?=licensed|released))?({'|'.join(notices + others)})(?![^SCL])"
+        words = s.replace(" ", "[ CL]").replace("[ CL]http", "[ CLS]http").replace("[ CL]v[ CL]", "[ CL]v[ CLS]")  # the address may stand in a paragraph of its own; "v. 2" ends no sentence
+        (notices if s.startswith(("licensed ", "released ", "distributed ")) else others).append(words)
+    return rf"(?<![^SCL])(?:{SUBJECT}(?=licensed|released|distributed))?({'|'.join(notices + others)})(?![^SCL])"
 
 
 def sentence_ids(text: Column) -> Column:

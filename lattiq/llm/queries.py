@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_join.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
+    "op5_suffix_array_dedup": suffix_array_dedup.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_license_scan": license_scan.SQL,
 }

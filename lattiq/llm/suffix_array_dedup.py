@@ -15,14 +15,15 @@ open:
    left open.
 3. The windows of open runs are refined against the other runs of their bucket: positions
    are numbered by their q-gram buckets, then pairs of numbers at p and p + 64 give the
-   128-byte buckets, and pairs of those at p and p + 72 the 200-byte buckets.  Buckets with
-   very many different runs take a path of rows and partial aggregates instead, which
-   never gathers a bucket in one task.
-
-Defined cases: a null text is empty; texts below LENGTH bytes keep everything; repeated
-rows are each other's copies; rows that share an id with different texts lose the bytes
-found in any of them at the same place; nothing is removed from rows with a null id, though
-their strings count; an empty table gives an empty result; other columns do not matter.
+   128-byte buckets, and pairs of those at p and p + 72 the 200-byte buckets.  Buckets of up
+   to GROUP_RUNS different runs are numbered inside tasks; the positions of larger ones are
+   rows, which get the same pairs as hashed bucket identifiers, and each level counts its
+   buckets by a partial aggregate and leaves what is alone, so no bucket is gathered.
+
+Defined cases: a null text is empty; texts below LENGTH bytes keep everything; very long
+texts are read whole; repeated rows are each other's copies; rows that share an id, or have
+a null one, are texts of their own and lose what the others hold; an empty table gives an
+empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,13 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lattiq.llm.common import Scratch, arrow, documents, merged, mix, powers, rows_of, window_runs
+from lattiq.llm.common import BASE, Scratch, arrow, documents, join_hot, merged, mix, powers, rows_of, window_runs
 
 LENGTH = 200
 Q = 64
-#: Buckets with more different runs than this are refined by rows; so many runs of about 270 bytes take some 150 MB of a worker.
-IN_MEMORY_RUNS = 8_000
+#: Different runs of a bucket that a task holds; so many runs of about 270 bytes take some 150 MB of a worker.
+GROUP_RUNS = 8_000
 
 
 def prefix_sums(data: bytes) -> np.ndarray:
@@ -60,8 +62,23 @@ def all_strings(sums: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * down[: len(sums) - n])
 
 
-def runs(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    schema = pa.schema([("bucket", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n", pa.int16()), ("lead", pa.int16())])
+def identifiers(sums: np.ndarray, length: int) -> list[np.ndarray]:
+    """Bucket identifiers of all places at each level: of Q bytes, then by pairs with the identifier at a later offset, up to length."""
+    out, reach = [all_strings(sums, Q)], Q
+    while reach < length:
+        step = min(reach, length - reach)
+        reach += step
+        out.append(mix(out[-1][:-step] * np.uint64(BASE) + out[-1][step:]))
+    return out
+
+
+def source_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text): the key tells rows apart whatever their ids; rows that repeat id and text share it, and all they lose."""
+    return docs.select(F.xxhash64(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def runs(source: DataFrame, length: int) -> DataFrame:
+    schema = pa.schema([("bucket", pa.int64()), ("whole", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n", pa.int16())])
 
     def scan(batches):
         for rows in rows_of(batches, "id", "text"):
@@ -72,11 +89,9 @@ def runs(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
                 sums = prefix_sums(data)
                 grams = all_strings(sums, Q)
                 first, last, low = window_runs(grams, length - Q + 1)
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[low].view(np.int64)), pa.array(strings(sums, first, last + length).view(np.int64)), pa.array([key] * k, pa.int64()) if key is None else pa.array(np.full(k, key)), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int16)), pa.array((low - first).astype(np.int16))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[low].view(np.int64)), pa.array(strings(sums, first, last + length).view(np.int64)), pa.array(np.full(len(first), key)), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int16))], schema=schema)
 
-    source = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text").where(f"octet_length(text) >= {length}")
-    return source.mapInArrow(scan, "bucket long, whole long, id long, at int, n smallint, lead smallint")
+    return source.where(f"octet_length(text) >= {length}").mapInArrow(scan, "bucket long, whole long, id long, at int, n smallint")
 
 
 def refine(contexts: list[tuple], length: int) -> list[tuple]:
@@ -120,16 +135,19 @@ SPAN = pa.schema([("id", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 def covered(docs: DataFrame, id_col: str, text_col: str, length: int, scratch: Scratch) -> DataFrame:
     """Intervals (id, a, b) whose union is all bytes to be removed."""
-    found = scratch.keep(runs(docs, id_col, text_col, length), "runs")
-    buckets = scratch.keep(found.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"), "buckets")
-    hits = scratch.keep(found.join(buckets, "bucket"), "hits")
+    source = source_of(docs, id_col, text_col)
+    found = scratch.keep(runs(source, length), "runs")
+    buckets = scratch.keep(found.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "buckets")
+    hits = scratch.keep(join_hot(found, buckets, ["bucket"], "k"), "hits")
     scratch.drop("runs", "buckets")
     kinds = scratch.keep(hits.groupBy("bucket", "whole").agg(F.count("*").alias("k"), F.min(F.struct("id", "at", "n")).alias("one")), "kinds")
-    full = hits.join(kinds.where("k > 1").select("bucket", "whole"), ["bucket", "whole"]).select("id", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + length).cast("int").alias("b"))
+    twice = join_hot(hits, kinds.where("k > 1").select("bucket", "whole", "k"), ["bucket", "whole"], "k")
+    full = twice.select("id", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + length).cast("int").alias("b"))
     mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.count_if(F.col("k") == 1).alias("alone")).where("kinds > 1 and alone > 0")
-    todo = kinds.join(mixed, "bucket").select("bucket", (F.col("k") == 1).alias("open"), (F.col("kinds") > IN_MEMORY_RUNS).alias("large"), "one.id", "one.at", "one.n")
+    mixed = scratch.keep(mixed.withColumn("size", F.col("kinds")), "mixed")
+    todo = join_hot(kinds, mixed, ["bucket"], "size").select("bucket", (F.col("k") == 1).alias("open"), (F.col("kinds") > GROUP_RUNS).alias("large"), "one.id", "one.at", "one.n")
     by_doc = todo.groupBy("id").agg(F.collect_list(F.struct("bucket", "open", "large", "at", "n")).alias("todo"))
-    source = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text")
+    texts = source.where(f"octet_length(text) >= {length}")  # of repeated rows all come; only strings that occur twice anyway are counted more often
 
     def cut(batches):
         schema = pa.schema([("bucket", pa.int64()), ("open", pa.bool_()), ("large", pa.bool_()), ("id", pa.int64()), ("at", pa.int32()), ("data", pa.binary())])
@@ -139,7 +157,7 @@ def covered(docs: DataFrame, id_col: str, text_col: str, length: int, scratch: S
                 out = [(t["bucket"], t["open"], t["large"], key, t["at"], data[t["at"] : t["at"] + t["n"] - 1 + length]) for t in todo]
                 yield arrow(schema, out)
 
-    cuts = scratch.keep(by_doc.join(source, "id").mapInArrow(cut, "bucket long, open boolean, large boolean, id long, at int, data binary"), "cuts", "zstd")
+    cuts = scratch.keep(by_doc.join(texts, "id").mapInArrow(cut, "bucket long, open boolean, large boolean, id long, at int, data binary"), "cuts", "zstd")
 
     def in_memory(batches):
         held, bucket, size = [], None, 0
@@ -154,30 +172,36 @@ def covered(docs: DataFrame, id_col: str, text_col: str, length: int, scratch: S
         if held:
             yield arrow(SPAN, refine(held, length))
 
+    levels = [f"level{i}" for i in range(1, len(identifiers(prefix_sums(b" " * length), length)))]
+
     def by_rows(batches):
-        schema = pa.schema([("window", pa.int64()), ("open", pa.bool_()), ("id", pa.int64()), ("a", pa.int32())])
+        schema = pa.schema([*((n, pa.int64()) for n in levels), ("open", pa.bool_()), ("id", pa.int64()), ("a", pa.int32())])
         for rows in rows_of(batches, "open", "id", "at", "data"):
             for open_, key, at, data in rows:
-                if len(data) >= length:
-                    h = all_strings(prefix_sums(data), length).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([open_] * len(h)), pa.array([key] * len(h), pa.int64()), pa.array((at + np.arange(len(h))).astype(np.int32))], schema=schema)
+                k = len(data) - length + 1
+                h = [x[:k].view(np.int64) for x in identifiers(prefix_sums(data), length)[1:]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, h), pa.array([open_] * k), pa.array(np.full(k, key)), pa.array((at + np.arange(k)).astype(np.int32))], schema=schema)
 
     small = cuts.where("not large").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(in_memory, "id long, a int, b int")
-    windows = cuts.where("large").mapInArrow(by_rows, "window long, open boolean, id long, a int")
-    again = windows.groupBy("window").agg(F.count("*").alias("k")).where("k > 1").select("window")
-    large = windows.where("open").join(again, "window").select("id", "a", (F.col("a") + length).cast("int").alias("b"))
-    return full.unionByName(small).unionByName(large)
+    out = full.unionByName(small)
+    if cuts.where("large").isEmpty():
+        return out
+    places = scratch.keep(cuts.where("large").mapInArrow(by_rows, ", ".join(f"{n} long" for n in levels) + ", open boolean, id long, a int"), "places")
+    for n in levels:  # a bucket of one is finished; what stays is refined by the next level
+        again = scratch.keep(places.groupBy(n).agg(F.count("*").alias("k")).where("k > 1"), f"again-{n}")
+        places = scratch.keep(join_hot(places, again, [n], "k"), f"places-{n}")
+    return out.unionByName(places.where("open").select("id", "a", (F.col("a") + length).cast("int").alias("b")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
     """Each row's columns in keep, n_bytes, n_removed, n_spans, kept_sha256, and kept: the bytes that stay."""
     scratch = Scratch(docs.sparkSession, "bytes")
     spans = scratch.keep(covered(docs, id_col, text_col, length, scratch), "spans")
-    scratch.drop("hits", "kinds", "cuts")
+    scratch.drop("hits", "kinds", "mixed", "cuts", "places", *(f"{x}-level{i}" for x in ("again", "places") for i in (1, 2)))
     by_doc = spans.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    keep = keep or [id_col]
-    rows = docs.select(*keep, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).join(by_doc, "id", "left")
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    kept = F.struct(*(keep or [id_col])).alias("_kept")
+    rows = docs.select(kept, F.xxhash64(id_col, text_col).alias("id"), F.col(text_col).alias("_text")).join(by_doc, "id", "left")
+    kind = T.StructType([rows.schema["_kept"], *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType())))])
 
     def cut(batches):
         for batch in batches:
@@ -195,10 +219,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     whole = len(data)
                 out.append((whole, removed, n, hashlib.sha256(data).hexdigest(), data))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["_kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.mapInArrow(cut, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(cut, kind).select("_kept.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(b[i:i + 199], '')) AS g FROM (SELECT doc_id, b, unnest(range(1, len(b) - 198)) AS i FROM d)),
+again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM win SEMI JOIN again USING (g)),
+marked AS (SELECT x.doc_id, byte, p, starts.i IS NOT NULL AS start FROM (SELECT doc_id, unnest(b) AS byte, generate_subscripts(b, 1) AS p FROM d) x LEFT JOIN starts ON starts.doc_id = x.doc_id AND starts.i = p),
+cut AS (SELECT doc_id, byte, p, coalesce(p - max(CASE WHEN start THEN p END) OVER (PARTITION BY doc_id ORDER BY p) < 200, false) AS gone FROM marked),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM cut),
+kept AS (SELECT doc_id, count(*) AS n, count_if(gone) AS r, count_if(opens) AS s, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS h FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""

@@ -256,12 +256,30 @@ def test_words_beyond_the_clustered_have_classes_of_their_neighbours(spark, monk
     assert all(got[900 + i] > got[2000 + i] + 0.1 for i in range(90))
 
 
+def whole_texts():
+    """Public notices as they stand in files: wrapped, in comments, as headings, as tags."""
+    comment = lambda t: "\n".join(f" * {x}".rstrip() for x in t.split("\n"))
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.\n"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\n"
+    gpl3 = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n"
+    agpl = "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your\noption) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT\nANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS\nFOR A PARTICULAR PURPOSE.\n"
+    free = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n"
+    return [
+        (lgpl, "<32><34>", "LGPL-2.1"), (comment(lgpl), "<32><34>", "LGPL-2.1"), (mpl, "<37><39>", "MPL-2.0"), ("/*\n" + comment(mpl) + "\n */", "<37><39>", "MPL-2.0"),
+        (isc, "<24>", "ISC"), (gpl3, "<26>", "GPL-3.0"), (agpl, "<36><11>", "AGPL-3.0"), (free, "<42><43>", "Unlicense"),
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", "<101>", "Apache-2.0"), ("# SPDX-License-Identifier: GPL-3.0-or-later\n\nx = 1", "<105>", "GPL-3.0-or-later"),
+        ("MIT License\n\nCopyright (c) 2020 A", "<55>", ""), ("a licence to print money", "", ""),
+    ]
+
+
 def test_license_in_wrapped_text(spark):
     mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n'
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n"
     bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n *\n * 1. Redistributions of source code must retain the above copyright notice, this\n *    list of conditions and the following disclaimer.\n * 3. Neither the name of the copyright holder nor the names of its\n *    contributors may be used to endorse or promote products derived from\n *    this software without specific prior written permission.\n"
     apache = '/* Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n * Unless required by law */'
     cases = [(mit, "<3><4>", "MIT"), (gpl, "<10><11>", "GPL-3.0"), (bsd, "<15><16><17>", "BSD-2-Clause,BSD-3-Clause"), (apache, "<6><7><8>", "Apache-2.0")]
+    cases += whole_texts()
     cases += [("This project is licensed under the MIT License.", "<2>", "MIT"), ("Released under the MIT License; see the file", "<1>", "MIT"), ("This project is not licensed under the MIT License.", "", "")]
     docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.license_scan(docs).collect()}

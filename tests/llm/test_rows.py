@@ -33,7 +33,7 @@ def test_exact_copies_go_by_row(spark):
 
 
 def test_hot_groups_meet_by_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     rows = [(i, "hot") for i in range(9)] + [(20 + i, f"t{i // 2}") for i in range(6)]
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {**{i: (8, 9) for i in range(9)}, **{20 + i: (21 + i // 2 * 2, 2) for i in range(6)}}
