@@ -10,7 +10,7 @@ LOG10_E = 0.4342944819
 
 def words(text: Column) -> Column:
     """Tokens at single spaces; inner empty tokens stay, trailing ones go."""
-    return F.filter(F.split(F.regexp_replace(text, " +$", ""), " "), lambda t, i: (t != "") | (i > -1))
+    return F.split(F.regexp_replace(text, " +$", ""), " ")
 
 
 def characters(text: Column) -> Column:
@@ -33,7 +33,7 @@ def is_cjk(ch: Column) -> Column:
 
 
 def is_number(s: Column) -> Column:
-    return F.expr("true") & s.try_cast("double").isNotNull()
+    return s.try_cast("double").isNotNull()
 
 
 def without_extension(name: Column) -> Column:
@@ -98,3 +98,53 @@ def toggle_comment(line: Column, mode: str) -> Column:
     on, off = ("@fixed", "@float") if mode == "fixed" else ("@float", "@fixed")
     bare = F.regexp_replace(line, r"^\s*//", "")
     return F.when(line.contains(off), F.concat(F.lit("//"), bare)).when(line.contains(on), bare).otherwise(line)
+
+
+def with_prefix(path: Column, prefix: str) -> Column:
+    """A path below a folder."""
+    return F.concat(F.lit(prefix.rstrip("/") + "/"), path)
+
+
+def width(token: Column) -> Column:
+    """Columns that a token takes on a screen: two a character where it is not pure ASCII."""
+    return F.when(is_ascii(token), F.char_length(token)).otherwise(2 * F.char_length(token))
+
+
+def padded(op: Column, own: Column, other: Column) -> Column:
+    """A token of an aligned pair as wide as its partner; blanks where it has none."""
+    lack = F.greatest(F.lit(0), width(other) - width(own))
+    return F.when(own.isNull(), F.repeat(F.lit(" "), width(other))).when(op == "S", F.concat(F.repeat(F.lit(" "), lack), own)).otherwise(own)
+
+
+def checked_quantise(x: Column, scale: float, lo: int = -32768, hi: int = 32767) -> Column:
+    """quantise(); a value outside lo .. hi is an error."""
+    q = quantise(x, scale)
+    return F.when(q.between(lo, hi) | q.isNull(), q).otherwise(F.raise_error(F.concat(F.lit("value out of range: "), q.cast("string"))).cast("long"))
+
+
+def without_zeros(x: Column) -> Column:
+    return F.filter(x, lambda v: v != 0)
+
+
+def mixture_log(weight: Column) -> Column:
+    """ln of a mixture weight; -1e10 below 1e-5."""
+    return F.when(weight < 1e-5, F.lit(-1e10)).otherwise(F.ln(weight))
+
+
+def transition_log(p: Column) -> Column:
+    """ln of a transition probability; 0 stays 0."""
+    return F.when(p == 0, F.lit(0.0)).otherwise(F.ln(p))
+
+
+def frame_count(values: Column, dim: int) -> Column:
+    """Frames in a file of one header value and dim values a frame."""
+    return F.floor((values - 1) / dim).cast("int")
+
+
+def decode_options(beam: int, alpha: float) -> tuple[int, float]:
+    """Beam and scale of the language model within their limits."""
+    if not 0 < beam <= 300_000:
+        raise ValueError("the beam is at most 300000")
+    if not 0 <= alpha <= 1000:
+        raise ValueError("the scale is at most 1000")
+    return beam, alpha

@@ -1,16 +1,21 @@
 """Edit alignment of token arrays: forced match on equal tokens, ties in the order D, I, S.
 
-The recurrence is a fold over the hypothesis that carries one row of the cost table, so it
-stays on the JVM.  Each cell carries its counts and its path, which makes a backtrace
-unnecessary: the decision of a cell never changes.  ``align_long`` computes the same for
-long texts in Arrow batches.
+``paths`` fills the cost tables of many pairs at once, one anti-diagonal after the other, and
+keeps one byte a cell for the backtrace; ``with_path`` runs it over Arrow batches.  ``align`` is
+the same as a column expression for short pairs: a fold over the hypothesis that carries one
+row of the table, whose cells carry counts and path.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Cells of cost tables that a task holds at a time, about (a longer pair is held alone).
+CELLS = 30_000_000
 
 CELL = "struct<c:int,m:int,d:int,i:int,s:int,path:string>"
 
@@ -64,16 +69,78 @@ def align_tokens(ref: list[str], hyp: list[str]) -> str:
     return "".join(reversed(path))
 
 
-def align_long(pairs: DataFrame, ref: str, hyp: str) -> DataFrame:
-    """pairs with a column path, computed outside the JVM; for texts of hundreds of tokens."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", path string"
+def table_paths(refs: list[list], hyps: list[list], cost: tuple[int, int, int]) -> list[str]:
+    deletion, insertion, substitution = cost
+    known: dict = {}
+    number = lambda tokens: [known.setdefault(t, len(known)) for t in tokens]
+    n, m = np.array([len(r) for r in refs]), np.array([len(h) for h in hyps])
+    k, wide, high = len(refs), int(n.max()), int(m.max())
+    ref, hyp = np.full((k, wide + 1), -1, np.int32), np.full((k, high + 1), -2, np.int32)
+    for i in range(k):
+        ref[i, 1 : n[i] + 1], hyp[i, 1 : m[i] + 1] = number(refs[i]), number(hyps[i])
+    back = np.zeros((k, high + 1, wide + 1), np.uint8)  # 0 D, 1 I, 2 S, 3 M
+    back[:, 1:, 0] = 1
+    before, last = None, np.zeros((k, high + 1), np.int32)
+    for d in range(1, high + wide + 1):
+        now = np.zeros((k, high + 1), np.int32)
+        if d <= wide:
+            now[:, 0] = d * deletion
+        if d <= high:
+            now[:, d] = d * insertion
+        p = np.arange(max(1, d - wide), min(high, d - 1) + 1)
+        if len(p):
+            q = d - p
+            left, up, across = last[:, p] + deletion, last[:, p - 1] + insertion, before[:, p - 1]
+            same = hyp[:, p] == ref[:, q]
+            op = np.where((left <= up) & (left <= across + substitution), 0, np.where(up <= across + substitution, 1, 2))
+            now[:, p] = np.where(same, across, np.minimum(np.minimum(left, up), across + substitution))
+            back[:, p, q] = np.where(same, 3, op)
+        before, last = last, now
+    out = np.zeros((k, high + wide), np.uint8)
+    p, q, rows, at = m.copy(), n.copy(), np.arange(k), 0
+    while True:
+        on = (p > 0) | (q > 0)
+        if not on.any():
+            break
+        op = back[rows, p, q]
+        out[:, at] = np.where(on, op + 1, 0)
+        p -= on & (op != 0)
+        q -= on & (op != 1)
+        at += 1
+    letters = np.frombuffer(b" DISM", np.uint8)
+    return [letters[row[row > 0][::-1]].tobytes().decode() for row in out]
+
+
+def paths(refs: list[list], hyps: list[list], cost: tuple[int, int, int] = (1, 1, 1)) -> list[str]:
+    """The paths of many pairs; cost: deletion, insertion, substitution."""
+    order = sorted(range(len(refs)), key=lambda i: (len(refs[i]), len(hyps[i])))
+    out, part = [""] * len(refs), []
+
+    def work() -> None:
+        for i, path in zip(part, table_paths([refs[i] for i in part], [hyps[i] for i in part], cost), strict=True):
+            out[i] = path
+
+    high = 0
+    for i in order:
+        high = max(high, len(hyps[i]))
+        if part and (len(part) + 1) * (high + 1) * (len(refs[i]) + 1) > CELLS:
+            work()
+            part, high = [], len(hyps[i])
+        part.append(i)
+    if part:
+        work()
+    return out
+
+
+def with_path(pairs: DataFrame, ref: str, hyp: str, cost: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """pairs with a column path; null token arrays count as empty."""
 
     def run(batches):
         for batch in batches:
-            paths = [align_tokens(r or [], h or []) for r, h in zip(batch.column(ref).to_pylist(), batch.column(hyp).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.string())], names=[*batch.schema.names, "path"])
+            found = paths([r or [] for r in batch.column(ref).to_pylist()], [h or [] for h in batch.column(hyp).to_pylist()], cost)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "path"])
 
-    return pairs.mapInArrow(run, kinds)
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("path", T.StringType())]))
 
 
 def aligned_pairs(ref: Column, hyp: Column, path: Column) -> Column:

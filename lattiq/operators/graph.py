@@ -5,9 +5,11 @@ Node numbers come from content (token places, offsets), never from the order of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattiq.operators.steps import cut, numbered, running_sum
+
 EPS = "<eps>"
 
 
@@ -19,7 +21,9 @@ def context_graph(sentences: DataFrame, mode: int = 0) -> tuple[DataFrame, DataF
     running sum over sentence lengths; one row per sentence is all that the sum reads.
     """
     rows = sentences.where("size(tokens) > 0").withColumn("n", F.size("tokens") - (1 if mode == 0 else 0))
-    sizes = rows.select("id", "n").withColumn("base", F.expr("coalesce(sum(n) over (order by id rows between unbounded preceding and 1 preceding), 0)")).withColumn("line", F.expr("row_number() over (order by id) - 1"))
+    sizes = running_sum(rows.select("id", "n"), ["id"], F.col("n"), "base", before=True)
+    if mode == 2:
+        sizes = numbered(sizes, ["id"], "line")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     steps = rows.select("id", "n", F.posexplode("tokens").alias("i", "label")).join(sizes.drop("n"), "id").crossJoin(F.broadcast(total))
     src = F.when(F.col("i") == 0, 0).otherwise(F.col("base") + F.col("i"))
@@ -40,7 +44,7 @@ def degrees(arcs: DataFrame) -> DataFrame:
 def offsets(arcs: DataFrame) -> DataFrame:
     """(node, n_arcs, first): where each node's arcs start when arcs lie in order of their source."""
     n = arcs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_arcs"))
-    return n.withColumn("first", F.expr("coalesce(sum(n_arcs) over (order by node rows between unbounded preceding and 1 preceding), 0)"))
+    return running_sum(n, ["node"], F.col("n_arcs"), "first", before=True)
 
 
 def reverse(arcs: DataFrame, final: int) -> DataFrame:
@@ -85,30 +89,173 @@ def concat(graphs: list[tuple[DataFrame, DataFrame, int]]) -> DataFrame:
     return out
 
 
-CLOSURE = """
-WITH RECURSIVE paths(node, stop, w, depth) AS (
-  SELECT src, dst, w, 1 FROM {arcs} WHERE ilabel = '<eps>'
-  UNION ALL
-  SELECT p.node, a.dst, p.w + a.w, p.depth + 1 FROM paths p JOIN {arcs} a ON a.src = p.stop WHERE a.ilabel = '<eps>' AND p.depth < 30)
-SELECT p.node, p.stop, round(p.w, 6) AS w, p.depth FROM paths p
-WHERE EXISTS (SELECT 1 FROM {arcs} a WHERE a.src = p.stop AND a.ilabel <> '<eps>')
-"""
+def reverse_graph(arcs: DataFrame, finals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arcs, finals) of the reversed graph: ends swapped, start and final change roles; several finals first lead by eps to a new one."""
+    ends = [r["node"] for r in finals.select("node").distinct().limit(2).collect()]
+    if len(ends) != 1:
+        top = arcs.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0
+        arcs, ends = funnel(arcs, finals, top + 1), [top + 1]
+    return reverse(arcs, ends[0]), arcs.sparkSession.createDataFrame([(ends[0],)], "node long")
+
+
+def funnel(arcs: DataFrame, finals: DataFrame, to: int) -> DataFrame:
+    """Every final node leads by eps to the new node ``to``."""
+    links = finals.select(F.col("node").cast("long").alias("src"), F.lit(to).cast("long").alias("dst"), F.lit(EPS).alias("ilabel"), F.lit(EPS).alias("olabel"), F.lit(0.0).alias("w"))
+    return arcs.select("src", "dst", "ilabel", "olabel", "w").unionByName(links)
+
+
+def swap_start(arcs: DataFrame, finals: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
+    """The node start becomes 0, and node 0 takes its number."""
+    at = lambda c: F.when(F.col(c) == start, F.lit(0)).when(F.col(c) == 0, F.lit(start)).otherwise(F.col(c)).cast("long")
+    return arcs.withColumns({"src": at("src"), "dst": at("dst")}), finals.select(at("node").alias("node"))
+
+
+def in_source_order(arcs: DataFrame, pos: str = "pos") -> DataFrame:
+    """arcs with column place: their order by source, arcs of one source in their old order."""
+    return numbered(arcs, ["src", pos], "place")
 
 
-def closure(arcs: DataFrame, view: str = "closure_arcs") -> DataFrame:
-    """Paths of eps arcs (30 deep at most) to nodes that have another arc."""
-    arcs.createOrReplaceTempView(view)
-    return arcs.sparkSession.sql(CLOSURE.format(arcs=view))
+def counts(arcs: DataFrame, finals: DataFrame) -> DataFrame:
+    """One row: max_node, n_arcs, n_finals, n_lines of the text form."""
+    a = arcs.agg(F.max(F.greatest("src", "dst")).alias("max_node"), F.count("*").alias("n_arcs"))
+    f = finals.agg(F.max("node").alias("_f"), F.count("*").alias("n_finals"))
+    both = a.crossJoin(f)  # a row on each side
+    return both.select(F.greatest("max_node", "_f").alias("max_node"), "n_arcs", "n_finals", (F.col("n_arcs") + F.col("n_finals")).alias("n_lines"))
+
+
+def best_leaving(arcs: DataFrame) -> DataFrame:
+    """(node, best): the largest weight of the arcs that leave each node."""
+    return arcs.groupBy(F.col("src").alias("node")).agg(F.max("w").alias("best"))
+
+
+def branches(arcs: DataFrame) -> DataFrame:
+    """arcs with column b: the place of an arc among those of its source, by target and labels."""
+    order = Window.partitionBy("src").orderBy("dst", "ilabel", "olabel", "w")
+    return arcs.withColumn("b", F.row_number().over(order) - 1)
+
+
+def closure(arcs: DataFrame, finals: DataFrame | None = None, depth: int = 30, most: int = 30_000) -> DataFrame:
+    """(node, stop, w, depth, path): all paths of eps arcs to nodes with another arc; path holds branches where arcs have a column b.
+
+    Paths that end at a final node go.  Eps arcs in a circle, which show by a path longer than depth, and nodes with
+    more than most paths are errors, as nothing may be cut short.
+    """
+    step = arcs.where(F.col("ilabel") == EPS).select("src", "dst", "w", (F.col("b") if "b" in arcs.columns else F.lit(None)).cast("int").alias("b"))
+    step = cut(step)
+    paths = step.select(F.col("src").alias("node"), F.col("dst").alias("stop"), F.col("w").cast("double").alias("w"), F.array("b").alias("path"))
+    found, k = [cut(paths)], 1
+    while not found[-1].isEmpty():
+        if k > depth:
+            raise ValueError(f"eps arcs go {depth} deep, or in a circle")
+        nxt = found[-1].alias("p").join(step.alias("a"), F.col("p.stop") == F.col("a.src"))
+        found.append(cut(nxt.select("p.node", F.col("a.dst").alias("stop"), (F.col("p.w") + F.col("a.w")).alias("w"), F.concat("p.path", F.array("a.b")).alias("path"))))
+        k += 1
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    several = out.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    if not several.isEmpty():
+        raise ValueError(f"a node has more than {most} eps paths")
+    out = out.withColumn("depth", F.size("path")).join(arcs.where(F.col("ilabel") != EPS).select(F.col("src").alias("stop")).distinct(), "stop", "left_semi")
+    if finals is not None:
+        out = out.join(finals.select(F.col("node").alias("stop")), "stop", "left_anti")
+    return out.select("node", "stop", "w", "depth", "path")
 
 
 def triphones(arcs: DataFrame) -> DataFrame:
-    """Context expansion: ``L-C+R`` for every label into an arc's source and out of its end."""
+    """Labels ``L-C+R`` of every label into an arc's source and out of its end, on the nodes as they are.
+
+    Two arcs of a path may then disagree on their contexts; ``expand_contexts`` splits the nodes.
+    """
     left = arcs.select(F.col("dst").alias("src"), F.col("ilabel").alias("l")).distinct()
     right = arcs.select(F.col("src").alias("dst"), F.col("ilabel").alias("r")).distinct()
     both = arcs.join(left, "src", "left").join(right, "dst", "left")
     return both.select("src", "dst", F.format_string("%s-%s+%s", F.coalesce("l", F.lit(EPS)), "ilabel", F.coalesce("r", F.lit(EPS))).alias("label"), "olabel", "w")
 
 
+def expand_contexts(arcs: DataFrame, finals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(arcs, finals, symbols) with labels ``L-C+R`` whose contexts agree along every path.
+
+    A node is split by (node, label before, arc behind): an arc C enters the copy that names C and leaves from the one that
+    names it.  Nodes are strings.  Copies of a start without arcs into it are one node "0"; otherwise "0" leads to its copies
+    by eps.  Every copy of a final is final.  An arc into a node without arcs has <eps> on its right.
+    """
+    named = branches(arcs)
+    behind = named.select(F.col("src").alias("dst"), F.col("ilabel").alias("r"), F.col("b").alias("rb"))
+    before = named.select(F.col("dst").alias("src"), F.col("ilabel").alias("l")).distinct()
+    entered = not arcs.where("dst = 0").isEmpty()
+    wide = named.join(before, "src", "left").join(behind, "dst", "left")
+    left, right = F.coalesce("l", F.lit(EPS)), F.coalesce("r", F.lit(EPS))
+    copy = lambda node, label, b: F.concat_ws("|", node, label, F.coalesce(b.cast("string"), F.lit("end")))
+    src, dst = copy(F.col("src"), left, F.col("b")), copy(F.col("dst"), F.col("ilabel"), F.col("rb"))
+    start = F.when(F.col("src") == 0, F.lit("0")).otherwise(src) if not entered else src
+    out = wide.select(start.alias("src"), dst.alias("dst"), F.format_string("%s-%s+%s", left, "ilabel", right).alias("ilabel"), "olabel", F.col("w").cast("double").alias("w"))
+    if entered:
+        copies = wide.where("src = 0").select(src.alias("dst")).distinct()
+        out = out.unionByName(copies.select(F.lit("0").alias("src"), "dst", F.lit(EPS).alias("ilabel"), F.lit(EPS).alias("olabel"), F.lit(0.0).alias("w")))
+    ends = wide.join(finals.select(F.col("node").alias("dst")), "dst", "left_semi").select(dst.alias("node")).distinct()
+    symbols = out.select(F.col("ilabel").alias("sym")).distinct()
+    return out, ends, symbols
+
+
+def encodings(arcs: DataFrame) -> DataFrame:
+    """(ilabel, olabel, w6, code): the distinct triples of labels and weight to six decimals, numbered in order."""
+    kinds = arcs.select("ilabel", "olabel", F.format_string("%.6f", F.col("w").cast("double")).alias("w6")).distinct()
+    return numbered(kinds, ["ilabel", "olabel", "w6"], "code")
+
+
+def factor(arcs: DataFrame, finals: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(arcs, finals) in which arcs with equal labels and weights (to six decimals) out of a node are one, and their targets one node.
+
+    A new node stands for a set of old ones and is named by their number and a hash; the start is "0".  once: only arcs whose
+    targets have one arc into them are joined, as merging from the far side of a reversed graph needs.  Sets stay rows, one a
+    member, so none is gathered; each round goes one arc deeper.
+    """
+    spark = arcs.sparkSession
+    label = ["ilabel", "olabel", "w6", "alone"]
+    base = arcs.select("src", "dst", "ilabel", "olabel", F.round("w", 6).cast("double").alias("w6"))
+    if once:
+        many = arcs.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst", F.col("dst").alias("alone"))
+        base = base.join(many, "dst", "left")
+    else:
+        base = base.withColumn("alone", F.lit(None).cast("long"))
+    base = cut(base)
+    name_of = lambda *c: F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64(*c)))
+    members = cut(spark.range(1).select(F.lit("0").alias("name"), F.lit(0).cast("long").alias("node")))
+    seen, parts, ends = members.select("name"), [], []
+    while not members.isEmpty():
+        ends.append(members.join(finals.select("node"), "node", "left_semi").select("name").distinct())
+        wide = cut(members.join(base, members["node"] == base["src"]).select("name", *label, "dst").distinct())
+        to = cut(wide.groupBy("name", *label).agg(name_of("dst").alias("to")))
+        parts.append(to.select("name", "to", "ilabel", "olabel", F.col("w6").alias("w")))
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("name", *label)]
+        nxt = wide.alias("a").join(to.alias("b"), same).select(F.col("b.to").alias("name"), F.col("a.dst").alias("node")).distinct()
+        members = cut(nxt.join(seen, "name", "left_anti"))
+        seen = cut(seen.unionByName(members.select("name").distinct()))
+    out, last = parts[0], ends[0]
+    for p, e in zip(parts[1:], ends[1:], strict=True):
+        out, last = out.unionByName(p), last.unionByName(e)
+    return out.select(F.col("name").alias("src"), F.col("to").alias("dst"), "ilabel", "olabel", "w").distinct(), last.select(F.col("name").alias("node")).distinct()
+
+
+def merge_tails(arcs: DataFrame, finals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(arcs, finals): equal paths into the end share their arcs: reversed, factored where targets have one arc into them, reversed."""
+    back, _ = reverse_graph(arcs, finals)
+    top = back.agg(F.max(F.greatest("src", "dst")).alias("m")).first()["m"]
+    out, ends = factor(back, arcs.sparkSession.createDataFrame([(_one(finals, arcs),)], "node long"), once=True)
+    names = out.select(F.col("src").alias("node")).union(out.select("dst")).distinct()
+    number = numbered(names.where("node <> '0'"), ["node"], "n").select("node", (F.col("n") + 1 + F.lit(top)).alias("n")).unionByName(arcs.sparkSession.createDataFrame([("0", 0)], "node string, n long"))
+    at = lambda c: number.select(F.col("node").alias(c), F.col("n").alias(f"_{c}"))
+    plain = out.join(at("src"), "src").join(at("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "ilabel", "olabel", "w")
+    return reverse_graph(plain, ends.join(number, "node").select(F.col("n").alias("node")))
+
+
+def _one(finals: DataFrame, arcs: DataFrame) -> int:
+    """The node that is final after reversing: that which took the start's part."""
+    ends = [r["node"] for r in finals.select("node").distinct().limit(2).collect()]
+    return ends[0] if len(ends) == 1 else (arcs.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0) + 1
+
+
 def prefix_tree(sentences: DataFrame) -> DataFrame:
     """(depth, prefix, n): shared prefixes of sentences (tokens), which left factoring merges into one node each."""
     rows = sentences.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice("tokens", F.lit(1), k), " ").alias("prefix")))).alias("x"))

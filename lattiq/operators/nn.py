@@ -74,3 +74,44 @@ def gaussian(x: Column, mean: Column, inverse_variance: Column, constant: Column
 
 def clamp(x: Column, lo: float = 1e-30, hi: float = 1e30) -> Column:
     return F.transform(x, lambda v: F.greatest(F.lit(lo), F.least(F.lit(hi), v)))
+
+
+def sum_ragged(x: Column, sizes: Column) -> Column:
+    """Sums of consecutive groups of the given sizes."""
+    start = lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, n: a + n)
+    return F.transform(sizes, lambda n, k: total(F.slice(x, start(k) + 1, n)))
+
+
+def vq_affine(x: Column, codebook: Column, index: Column, bias: Column) -> Column:
+    """An affine layer whose weights are code words: dot products with the code words once, then sums by 1-based index.
+
+    codebook: array of code words of dim values; index: for each output one code word for each of the len(x) / dim pieces of x.
+    """
+    dim = F.size(F.element_at(codebook, 1))
+    pieces = F.transform(F.sequence(F.lit(0), (F.size(x) / dim).cast("int") - 1), lambda g: F.slice(x, g * dim + 1, dim))
+    dots = F.transform(pieces, lambda p: F.transform(codebook, lambda c: dot(p, c)))
+    out = lambda d: F.transform(index, lambda row: total(F.transform(row, lambda i, g: F.element_at(F.element_at(d, g + 1), i))))
+    return F.zip_with(F.transform(F.array(dots), out)[0], bias, lambda a, b: a + b)  # dots are an argument, computed once
+
+
+def mixture(x: Column, mixtures: Column) -> Column:
+    """Log-likelihood of a Gaussian mixture: structs (lw, mu, iv, g) of log weight, means, inverse variances and constant."""
+    each = F.transform(mixtures, lambda m: m["lw"] + gaussian(x, m["mu"], m["iv"], m["g"]))
+    best = lambda e: F.array_max(e)
+    return F.transform(F.array(each), lambda e: best(e) + F.ln(F.aggregate(e, F.lit(0.0).cast("double"), lambda a, v: a + F.exp(v - best(e)))))[0]
+
+
+def usable(mixtures: Column, least: float) -> Column:
+    """Mixtures whose log weight is not below least; weights stay as they are."""
+    return F.filter(mixtures, lambda m: m["lw"] >= least)
+
+
+def padded_dim(x: Column, multiple: int = 4) -> Column:
+    """x with zeros up to a multiple of values."""
+    lack = F.pmod(-F.size(x), F.lit(multiple))
+    return F.concat(x, F.array_repeat(F.lit(0.0).cast("double"), lack))
+
+
+def transition(matrix: Column, states: Column, at: Column, to: Column) -> Column:
+    """The entry of a row-major matrix of states by states."""
+    return F.element_at(matrix, (at * states + to + 1).cast("int"))

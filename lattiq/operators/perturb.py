@@ -1,12 +1,63 @@
-"""Deterministic corruption of transcripts: substitution by keyed places."""
+"""Deterministic corruption of transcripts: substitution by keyed places, homophones, cuts.
+
+Choices come from integer arithmetic on row keys and places, so reruns and other engines agree.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattiq.functions import text as X
+
 
 def substitute(tokens: Column, key: Column, every: int = 7) -> Column:
     """Tokens whose keyed place divides by every are replaced by their neighbour; the last never changes."""
     n = F.size(tokens)
     return F.transform(tokens, lambda t, i: F.when(((key * 13 + i) % every == 0) & (i < n - 1), F.element_at(tokens, (i + 2).cast("int"))).otherwise(t))
+
+
+def homophones(sounds: DataFrame, common: DataFrame) -> DataFrame:
+    """(ch, alts): for each character (ch, sound) the others of the same sound that are common (column ch), in order.
+
+    One row for each character: the table is as small as the writing system.
+    """
+    kept = sounds.join(common.select("ch").distinct(), "ch", "left_semi").select(F.col("ch").alias("alt"), "sound").distinct()
+    pairs = sounds.distinct().join(kept, "sound").where("ch <> alt")
+    return pairs.groupBy("ch").agg(F.array_sort(F.collect_set("alt")).alias("alts"))
+
+
+def change_count(length: Column, key: Column, lo: float = 0.7, hi: float | None = None) -> Column:
+    """How many places change: from round(lo * length) to length - 1, or to round(hi * length), by key."""
+    a = F.bround(length * F.lit(lo)).cast("int")
+    b = (length - 1 if hi is None else F.bround(length * F.lit(hi)).cast("int"))
+    return F.greatest(F.lit(0), a + F.pmod(key * 7, F.greatest(F.lit(1), b - a + 1)).cast("int"))
+
+
+def substitute_homophones(rows: DataFrame, table: DataFrame, key: str = "id", text: str = "text", lo: float = 0.7, hi: float | None = None) -> DataFrame:
+    """rows with text changed at keyed places to keyed homophones (ch, alts); the last character never changes, nor what is not CJK.
+
+    The table is joined as one map, for every row in one pass.
+    """
+    mapped = table.agg(F.map_from_entries(F.collect_list(F.struct("ch", "alts"))).alias("_alts"))  # a row for each character of the script
+    k, n = F.col(key), F.char_length(text)
+    rank = lambda i: F.struct(F.pmod(k * 31 + i * 17, F.lit(101)).alias("r"), i.alias("i"))
+    places = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    last = F.try_element_at(F.sort_array(F.transform(places, rank)), F.greatest(F.lit(1), change_count(n, k, lo, hi)))
+
+    def swapped(x):  # length, count and the last rank that changes are arguments, so they are found once for a text
+        alts = lambda c: F.try_element_at(F.col("_alts"), c)
+        goes = lambda c, i: (i <= x["n"] - 2) & (rank(i) <= x["top"]) & (x["count"] > 0) & X.is_cjk(c) & (F.coalesce(F.size(alts(c)), F.lit(0)) > 0)
+        return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(goes(c, i), F.element_at(alts(c), (F.pmod(k + i, F.size(alts(c))) + 1).cast("int"))).otherwise(c)), "")
+
+    return rows.crossJoin(F.broadcast(mapped)).withColumn(text, F.transform(F.array(F.struct(last.alias("top"), n.alias("n"), change_count(n, k, lo, hi).alias("count"))), swapped)[0]).drop("_alts")
+
+
+def cuts(rows: DataFrame, signal: str, key: str, widths: tuple[int, ...] = (50, 100, 150), repeats: int = 3) -> DataFrame:
+    """rows with the signal less a window of twice the width around a keyed place: (width, repeat) copies of each, where the signal is long enough."""
+    n = F.size(signal)
+    grid = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(r).alias("repeat")) for w in widths for r in range(1, repeats + 1)])
+    out = rows.withColumn("_g", F.explode(grid)).withColumns({"width": F.col("_g.width"), "repeat": F.col("_g.repeat")}).where(n >= 2 * F.col("width"))
+    at = (F.col("width") + F.pmod(F.col(key) * 13 + F.col("repeat") * 7, n - 2 * F.col("width") + 1)).cast("int")
+    front, end = F.slice(signal, F.lit(1), at - F.col("width")), F.slice(signal, at + F.col("width") + 1, F.greatest(F.lit(0), n - at - F.col("width")))
+    return out.withColumn(signal, F.concat(front, end)).drop("_g")

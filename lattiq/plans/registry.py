@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from lattiq.operators import nn as N
 from lattiq.operators import perturb as P
 from lattiq.operators import rewrite as W
 from lattiq.operators import search as S
+from lattiq.operators.steps import numbered, running_sum
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,17 +115,28 @@ def confusion_counts(spark, d):
     return E.confusions(E.pair_rows(scored(spark, d), "id"))
 
 
-@query(scored_sql("""SELECT id, format('FILE: {}\nREF: {}\nHYP: {}\nEdit_Distance: {}\nUtterance:      Corr:{:.2f} Acc:{:.2f}    C:{} M:{} D:{} I:{} S:{}', id::VARCHAR, array_to_string(ref, ' '), array_to_string(hyp, ' '), distance, corr, acc, "C", "M", "D", "I", "S") AS block FROM scored"""))
+WIDTH = "CASE WHEN length({t}) = strlen({t}) THEN length({t}) ELSE 2 * length({t}) END"
+W_REF, W_HYP = WIDTH.format(t="ref_token"), WIDTH.format(t="hyp_token")
+#: Aligned tokens side by side, and a line for each pair.
+SHOWN = f""", shown AS (SELECT id, pos, op,
+  CASE op WHEN 'I' THEN repeat(' ', {W_HYP}) WHEN 'S' THEN repeat(' ', greatest(0, ({W_HYP}) - ({W_REF}))) || ref_token ELSE ref_token END AS r,
+  CASE op WHEN 'D' THEN repeat(' ', {W_REF}) WHEN 'S' THEN repeat(' ', greatest(0, ({W_REF}) - ({W_HYP}))) || hyp_token ELSE hyp_token END AS h,
+  CASE op WHEN 'M' THEN 'MCH: ' || ref_token || ' -> ' || hyp_token WHEN 'S' THEN 'SUB: ' || ref_token || ' -> ' || hyp_token WHEN 'D' THEN 'DEL: ' || ref_token || ' ->' ELSE 'INS: -> ' || hyp_token END || chr(10) AS line FROM aligned),
+sides AS (SELECT id, string_agg(r, ' ' ORDER BY pos) AS rs, string_agg(h, ' ' ORDER BY pos) AS hs, string_agg(line, '' ORDER BY pos) AS lines FROM shown GROUP BY id)
+"""
+
+
+@query(scored_sql("", 31).rstrip() + PAIRS_SQL + SHOWN + """SELECT id, format('FILE: {}\nREF: {}\nHYP: {}\nEdit_Distance: {}\nUtterance:\tCorr:{:.2f} Acc:{:.2f}\tC:{} M:{} D:{} I:{} S:{}\n{}', id::VARCHAR, rs, hs, distance, corr, acc, "C", "M", "D", "I", "S", lines) AS block FROM scored JOIN sides USING (id)""")
 def cer_report(spark, d):
     return E.report(scored(spark, d).withColumn("id", F.col("id").cast("string"))).withColumn("id", F.col("id").cast("long"))
 
 
 @query(f"""WITH tok AS ({TOK}), a AS ({hyp_sql(31)}), b AS ({hyp_sql(17)})
-SELECT tok.id, array_to_string(tok.ref, ' ') AS answer, array_to_string(a.hyp, ' ') AS first, array_to_string(b.hyp, ' ') AS second FROM tok LEFT JOIN a ON a.id = tok.id AND tok.id % 3 <> 0 LEFT JOIN b ON b.id = tok.id AND tok.id % 5 <> 0""")
+SELECT tok.id, array_to_string(tok.ref, ' ') AS answer, array_to_string(a.hyp, ' ') AS first, array_to_string(b.hyp, ' ') AS second FROM tok LEFT JOIN a ON a.id = tok.id LEFT JOIN b ON b.id = tok.id""")
 def answer_vs_two_results(spark, d):
     refs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.split("text", " ").alias("tokens"))
-    one = E.corrupted(refs, 31).where("id % 3 <> 0").select("id", F.array_join("hyp", " ").alias("first"))
-    two = E.corrupted(refs, 17).where("id % 5 <> 0").select("id", F.array_join("hyp", " ").alias("second"))
+    one = E.corrupted(refs, 31).select("id", F.array_join("hyp", " ").alias("first"))
+    two = E.corrupted(refs, 17).select("id", F.array_join("hyp", " ").alias("second"))
     return refs.select("id", F.array_join("tokens", " ").alias("answer")).join(one, "id", "left").join(two, "id", "left")
 
 
@@ -142,7 +155,7 @@ def references_last_wins(spark, d):
     return E.references(turns(spark, d).select(F.format_string("(%d|)", "conv_id").alias("id"), "text", F.col("turn").alias("line_no")))
 
 
-@query("SELECT conv_id, turn, len(list_filter(string_split(regexp_replace(text, ' +$', ''), ' '), lambda t: true))::INT AS n_words, list_sum(list_transform(string_split(regexp_replace(text, ' +$', ''), ' '), lambda t: CASE WHEN length(t) = strlen(t) THEN 1 ELSE length(t) END))::INT AS n_chars FROM conversations")
+@query("SELECT conv_id, turn, len(string_split(regexp_replace(text, ' +$', ''), ' '))::INT AS n_words, list_sum(list_transform(string_split(regexp_replace(text, ' +$', ''), ' '), lambda t: CASE WHEN length(t) = strlen(t) THEN 1 ELSE length(t) END))::INT AS n_chars FROM conversations")
 def token_levels(spark, d):
     return turns(spark, d).select("conv_id", "turn", F.size(X.words(F.col("text"))).alias("n_words"), F.size(X.characters(F.col("text"))).alias("n_chars"))
 
@@ -186,9 +199,9 @@ def fallback_lookup(spark, d):
     return L.fallback(rows, known, "tri", "lo", "hi", default="<none>").select("tri", "lo", "hi", "physical")
 
 
-@query("SELECT phones, count(*) AS n FROM (SELECT text[1:12] AS phones FROM conversations) GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT phones, count(*) AS n FROM (SELECT text AS phones FROM documents WHERE text IS NOT NULL) GROUP BY ALL HAVING count(*) > 1")
 def duplicate_models(spark, d):
-    return L.duplicates(turns(spark, d).select(F.substring("text", 1, 12).alias("phones")), "phones")
+    return L.duplicates(table(spark, d, "documents").where("text is not null").select(F.col("text").alias("phones")), "phones")
 
 
 @query("""WITH t AS (SELECT item_id AS id, unnest(string_split(text, ' ')) AS c, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark)
@@ -272,10 +285,16 @@ def graph_concat(spark, d):
 HOLES = "eps_arcs AS (SELECT src, dst, CASE WHEN dst % 3 = 0 THEN '<eps>' ELSE ilabel END AS ilabel, -0.25::DOUBLE AS w FROM arcs)"
 
 
-@query(f"WITH RECURSIVE {GRAPH}, {HOLES}, " + G.CLOSURE.format(arcs="eps_arcs").replace("WITH RECURSIVE", "", 1))
+CLOSURE = """paths AS (SELECT src AS node, dst AS stop, w, 1 AS depth FROM eps_arcs WHERE ilabel = '<eps>'
+  UNION ALL SELECT p.node, a.dst, p.w + a.w, p.depth + 1 FROM paths p JOIN eps_arcs a ON a.src = p.stop WHERE a.ilabel = '<eps>' AND p.depth < 30)
+SELECT p.node, p.stop, round(p.w, 6) AS w, p.depth FROM paths p WHERE EXISTS (SELECT 1 FROM eps_arcs a WHERE a.src = p.stop AND a.ilabel <> '<eps>')"""
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {HOLES}, {CLOSURE}")
 def eps_closure(spark, d):
     arcs = graph(spark, d)[0]
-    return G.closure(arcs.select("src", "dst", F.when(F.col("dst") % 3 == 0, "<eps>").otherwise(F.col("ilabel")).alias("ilabel"), F.lit(-0.25).cast("double").alias("w")))
+    holes = arcs.select("src", "dst", F.when(F.col("dst") % 3 == 0, "<eps>").otherwise(F.col("ilabel")).alias("ilabel"), F.lit(-0.25).cast("double").alias("w"))
+    return G.closure(holes).select("node", "stop", F.round("w", 6).alias("w"), "depth")
 
 
 @query(f"""WITH {GRAPH}, l AS (SELECT DISTINCT dst AS node, ilabel AS x FROM arcs), r AS (SELECT DISTINCT src AS node, ilabel AS x FROM arcs)
@@ -303,12 +322,12 @@ s AS (SELECT node, min(seen) AS seen FROM ends GROUP BY node), num AS (SELECT no
 SELECT a.number AS src, b.number AS dst, ilabel, olabel, w FROM p JOIN num a ON a.node = src JOIN num b ON b.node = dst""")
 def graph_renumber(spark, d):
     arcs, finals = graph(spark, d)
-    return W.renumber(arcs.withColumn("pos", F.expr("row_number() over (order by dst desc, src)")), finals)[0]
+    return W.renumber(numbered(arcs, ["dst desc", "src"], "pos"), finals)[0]
 
 
 @query(f"WITH {GRAPH} SELECT src AS node, max(w - (dst % 7)) AS best FROM arcs GROUP BY src")
 def graph_best_leaving(spark, d):
-    return W.best_leaving(graph(spark, d)[0].withColumn("w", F.col("w") - F.col("dst") % 7))
+    return G.best_leaving(graph(spark, d)[0].withColumn("w", F.col("w") - F.col("dst") % 7))
 
 
 @query(f"""WITH {GRAPH}, lex AS (SELECT DISTINCT ilabel AS word, string_split(ilabel, '') AS p FROM arcs WHERE length(ilabel) > 0),
@@ -354,12 +373,12 @@ def ma_user(spark, d):
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id),
-f AS (SELECT user_id, x, 3 AS t, x[1:2] AS y FROM s UNION ALL SELECT user_id, x, t + 1, list_append(y, (y[t - 2] + y[t - 1] + x[t] + x[t + 1] + x[t + 2]) / 5) FROM f WHERE t <= len(x) - 2 AND len(x) > 4)
-SELECT user_id, round(list_sum(CASE WHEN len(x) > 4 THEN list_concat(y, x[-2:]) ELSE x END), 4) AS total, len(x)::INT AS n FROM f WHERE t = len(x) - 1 OR len(x) <= 4""")
+f AS (SELECT user_id, x, 3 AS t, x[1:2] AS y FROM s UNION ALL SELECT user_id, x, t + 1, list_append(y, (y[t - 2] + y[t - 1] + x[t] + x[t + 1] + x[t + 2]) / 5) FROM f WHERE t <= len(x) - 2 AND len(x) > 4),
+g AS (SELECT user_id, CASE WHEN len(x) > 4 THEN list_concat(y, x[-2:]) ELSE x END AS y FROM f WHERE t = len(x) - 1 OR len(x) <= 4)
+SELECT user_id, (generate_subscripts(y, 1) - 1)::INT AS t, round(unnest(y), 4) + 0.0 AS y FROM g""")
 def arma_user(spark, d):
     s = events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x")).select("user_id", F.col("x.value").alias("x"))
-    y = s.withColumn("y", R.arma(F.col("x"), 2))
-    return y.select("user_id", F.round(N.total(F.col("y")), 4).alias("total"), F.size("y").alias("n"))
+    return s.select("user_id", F.posexplode(R.arma(F.col("x"), 2)).alias("t", "y")).withColumn("y", F.round("y", 4) + F.lit(0.0))
 
 
 @query("SELECT event_id, len(b)::INT AS n, round(list_sum(b), 6) AS total FROM (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS b FROM events)")
@@ -400,14 +419,6 @@ def best_per_state(spark, d):
     return S.best_per(rows, ["user_id", "event_type"], "value", "newest").select("user_id", "event_type", "event_id")
 
 
-@query()
-def viterbi_small(spark, d):
-    rows = events(spark, d).select("user_id", F.struct("ts", "event_id").alias("at"), F.array(-F.abs(F.col("value") - 20), -F.abs(F.col("value") - 50), -F.abs(F.col("value") - 80)).cast("array<double>").alias("emit"))
-    flat = rows.select("user_id", F.col("at.event_id").alias("at"), "emit")
-    stay, move = -0.2, -1.7
-    return S.viterbi(flat, "user_id", "at", "emit", [[stay if i == j else move for j in range(3)] for i in range(3)], [0.0, 0.0, 0.0])
-
-
 @query("SELECT dim::INT AS dim, round(avg(x), 6) + 0.0 AS mean, round(var_pop(x), 6) AS var FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY dim")
 def mean_var_dim(spark, d):
     v = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
@@ -451,7 +462,7 @@ vector_query("rms_norm", "list_transform(v, lambda x: x * least(1.0::DOUBLE, 1.0
 vector_query("softmax_floor", "list_transform(v, lambda x: greatest(exp(x) / list_sum(list_transform(v, lambda z: exp(z))), 1e-20::DOUBLE))", N.softmax)
 vector_query("fixed_scale", "list_transform(range(1, len(v) + 1), lambda i: v[i] * i)", lambda v: N.scale(v, F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: i.cast("double"))))
 vector_query("affine_small", "list_transform(range(1, 5), lambda r: list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * ((i * r) % 5))) + r)", lambda v: N.affine(v, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda r: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: ((i * r) % 5).cast("double"))), F.array(*[F.lit(float(r)) for r in range(1, 5)])))
-vector_query("vq_gather", "list_transform([3, 1, 4, 1, 5, 9, 2, 6], lambda i: v[i])", lambda v: N.gather(v, F.array(*[F.lit(i) for i in (3, 1, 4, 1, 5, 9, 2, 6)])))
+vector_query("vq_gather", "list_transform(range(1, len(v) + 1), lambda i: v[(i * 3) % len(v) + 1])", lambda v: N.gather(v, F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: (i * 3) % F.size(v) + 1)))
 vector_query("prior_norm", "list_transform(range(1, len(v) + 1), lambda i: ln((exp(v[i]) / i) / list_sum(list_transform(range(1, len(v) + 1), lambda k: exp(v[k]) / k))))", lambda v: N.log_posterior(F.transform(v, F.exp), F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: i.cast("double"))))
 vector_query("quantise", "list_transform(v, lambda x: floor(x * 4096.0::DOUBLE + 0.5))", lambda v: F.transform(v, lambda x: X.quantise(x, 4096.0).cast("double")))
 vector_query("quantise_down", "list_transform(v, lambda x: trunc(x * 1024.0::DOUBLE))", lambda v: F.transform(v, lambda x: X.quantise_down(x, 1024.0).cast("double")))
@@ -464,9 +475,9 @@ def quantise_range(spark, d):
     return vectors(spark, d).select("vec_id", F.forall("v", lambda x: X.quantise(x, 4096.0).between(-32768, 32767)).alias("fits"))
 
 
-@query(f"SELECT vec_id, round(CASE WHEN least(v[1], v[2]) - greatest(v[1], v[2]) < -23.02585 THEN greatest(v[1], v[2]) ELSE greatest(v[1], v[2]) + ln(1 + exp(least(v[1], v[2]) - greatest(v[1], v[2]))) END, 6) + 0.0 AS y FROM {VEC}")
+@query(f"SELECT vec_id, round(list_reduce(v, lambda a, b: CASE WHEN least(a, b) - greatest(a, b) < -23.02585 THEN greatest(a, b) ELSE greatest(a, b) + ln(1 + exp(least(a, b) - greatest(a, b))) END), 6) + 0.0 AS y FROM {VEC}")
 def logadd(spark, d):
-    return vectors(spark, d).select("vec_id", r6(N.log_add(F.col("v")[0], F.col("v")[1])).alias("y"))
+    return vectors(spark, d).select("vec_id", r6(F.reduce(F.slice("v", F.lit(2), F.size("v")), F.col("v")[0], lambda a, b: N.log_add(a, b))).alias("y"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS mu, var_pop(x) AS var FROM e GROUP BY label, i)
@@ -503,5 +514,9 @@ def repeat_paths(spark, d):
 def repeat_share_cut(spark, d):
     rows = repeats(spark, d)
     total = rows.agg(F.sum("n").alias("total"))
-    ordered = rows.withColumn("upto", F.expr("sum(n) over (order by n desc, path rows between unbounded preceding and current row)"))
+    ordered = running_sum(rows, ["n desc", "path"], F.col("n"), "upto")
     return ordered.crossJoin(F.broadcast(total)).where("upto / total <= 0.2").select("path", "n")
+
+
+for part in ("transcripts", "graphs", "models"):  # they add their queries here
+    importlib.import_module(f"lattiq.plans.{part}")
