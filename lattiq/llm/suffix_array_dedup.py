@@ -229,11 +229,14 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
-win AS (SELECT doc_id, i, md5(array_to_string(b[i:i + 199], '')) AS g FROM (SELECT doc_id, b, unnest(range(1, len(b) - 198)) AS i FROM d)),
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '.{1,400}') AS b FROM documents),
+blocks AS (SELECT doc_id, generate_subscripts(b, 1) AS k, unnest(b) AS x FROM d),
+two AS (SELECT doc_id, k, x || coalesce(lead(x) OVER (PARTITION BY doc_id ORDER BY k), '') AS y FROM blocks),
+win AS (SELECT doc_id, (k - 1) * 200 + o + 1 AS i, md5(substr(y, 2 * o + 1, 400)) AS g FROM two, range(0, 200) t(o) WHERE 2 * o + 400 <= length(y)),
+bytes AS (SELECT doc_id, (k - 1) * 200 + o + 1 AS p, substr(x, 2 * o + 1, 2) AS byte FROM blocks, range(0, 200) t(o) WHERE 2 * o < length(x)),
 again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
 starts AS (SELECT doc_id, i FROM win SEMI JOIN again USING (g)),
-marked AS (SELECT x.doc_id, byte, p, starts.i IS NOT NULL AS start FROM (SELECT doc_id, unnest(b) AS byte, generate_subscripts(b, 1) AS p FROM d) x LEFT JOIN starts ON starts.doc_id = x.doc_id AND starts.i = p),
+marked AS (SELECT x.doc_id, byte, p, starts.i IS NOT NULL AS start FROM bytes x LEFT JOIN starts ON starts.doc_id = x.doc_id AND starts.i = p),
 cut AS (SELECT doc_id, byte, p, coalesce(p - max(CASE WHEN start THEN p END) OVER (PARTITION BY doc_id ORDER BY p) < 200, false) AS gone FROM marked),
 runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM cut),
 kept AS (SELECT doc_id, count(*) AS n, count_if(gone) AS r, count_if(opens) AS s, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS h FROM runs GROUP BY doc_id)
