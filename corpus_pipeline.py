@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over ``documents``, each a Parquet table for the next."""
+"""The corpus pipeline: five stages over ``documents``, each a Parquet table for the next.
+
+Defined cases, the same in every stage but the last: other columns may have any names and stay; ids may be null and repeat, as
+rows have keys of their own; texts of any length are read whole; an empty table stays empty, with its columns.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,34 @@ from lattiq.llm.common import Scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the classifier learns from labelled rows outside every fifth fold."""
+    """Documents whose language can be told; the classifier learns from labelled rows outside every fifth fold.
+
+    Null texts, texts without a letter and texts without a known n-gram go; without labels all go.  Ties between languages do
+    not matter here, and repeated rows stay or go together.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs.where(~language_id.held_out(F.col("doc_id")))))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts (A-Z lowered, null as empty) one row stays: that with the largest id, or any of them if that is repeated."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
+    """One row of each group of near copies stays, that with the smallest id (null is the largest); texts without words all stay."""
     return ngram_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each pass over a source that takes words of a document."""
+    """The words that the mix takes: a row for each pass over a source that takes words of a document.
+
+    Texts without words go; a null source is one of its own; repeated rows are taken each by itself.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text with their digests; decoding gives the text back."""
+    """Token ids of every text with their digests, a row for each row; decoding gives the text back.  A null text is empty."""
     return bpe.bpe_digests(docs, bpe.default_path(), with_ids=True)
 
 
