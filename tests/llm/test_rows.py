@@ -159,3 +159,87 @@ def test_digest_of_a_text_of_megabytes(spark):
     text = "Ab " * 1_500_000
     got = exact_dedup.exact_groups(spark.createDataFrame([(1, text), (2, text.lower())], "doc_id long, text string")).collect()
     assert {(r.keep_id, r.group_size, r.text_sha256) for r in got} == {(2, 2, hashlib.sha256(text.lower().encode()).hexdigest())}
+
+
+@pytest.mark.parametrize("name", ["language_id", "exact_dedup", "ngram_join", "mixing"])
+def test_stages_keep_columns_and_odd_rows(spark, tmp_path, name):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, "the thing that they think of", "en", "s") for i in range(30)] + [(None, "the other thing they thought", "en", None), (7, "the thing", None, "s"), (8, None, "en", "s"), (9, "", "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for c in ("_row", "_of", "_key", "score", "pass", "_spans", "component_id", "keep_id", "row"):
+        df = df.withColumn(c, F.lit(5))
+    stage = dict(pipeline.STAGES)[name]
+    got = stage(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    found = {(r.doc_id, r.text) for r in got.collect()}
+    want = {
+        "language_id": {(r[0], r[1]) for r in rows if r[1]},
+        "exact_dedup": {(29, "the thing that they think of"), (None, "the other thing they thought"), (7, "the thing"), (9, "")},
+        "ngram_join": {(0, "the thing that they think of"), (None, "the other thing they thought"), (7, "the thing"), (8, None), (9, "")},
+    }
+    assert found == want[name] if name in want else sum(len(t.split()) for _, t in found) > 0
+    empty = stage(spark, df.limit(0), str(tmp_path))
+    assert empty.columns == df.columns and empty.count() == 0
+
+
+def test_windows_of_rows_that_share_an_id(spark):
+    from lattiq.llm import substring_dedup
+
+    w = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(w[:20]), 0), (3, " ".join([*w[:20], "x"]), 1), (3, " ".join(["y", *w[20:40]]), 2), (2, " ".join(w[20:40]), 3), (None, " ".join(w), 4)]
+    got = {r.n: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n int"), keep=["n"]).collect()}
+    assert got == {0: (20, 0, rows[0][1]), 1: (21, 20, "x"), 2: (21, 20, "y"), 3: (20, 0, rows[3][1]), 4: (40, 0, rows[4][1])}
+
+
+@pytest.mark.parametrize("most", [50_000, 2, 0])
+def test_trees_and_split_groups_agree(spark, monkeypatch, most):
+    from lattiq.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "GROUP_RUNS", most)
+    rng = random.Random(6)
+    base = [rng.choice("abc") for _ in range(120)]
+    rows = []
+    for i in range(12):
+        at = rng.randrange(60)
+        rows.append((i, " ".join([*(rng.choice("abc") for _ in range(10)), *base[at : at + 40], *(rng.choice("abc") for _ in range(10))])))
+    first = {}
+    for i, t in rows:
+        words = t.split()
+        for k in range(len(words) - 12):
+            first.setdefault(tuple(words[k : k + 13]), i)
+    for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = dict(rows)[r.doc_id].split()
+        gone = {j for k in range(len(words) - 12) if first[tuple(words[k : k + 13])] < r.doc_id for j in range(k, k + 13)}
+        assert r.n_removed == len(gone) and r.kept.split() == [x for j, x in enumerate(words) if j not in gone]
+
+
+def test_bytes_of_rows_without_ids(spark):
+    from lattiq.llm import suffix_array_dedup
+
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, other = text(300), text(260)
+    rows = [(None, text(50) + shared, 0), (2, shared + text(40), 1), (5, other + text(30), 2), (5, text(20) + other, 3), (6, text(400), 4)]
+    got = {r.n: (r.n_removed, r.n_spans) for r in suffix_array_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n int"), keep=["n"]).collect()}
+    assert got == {0: (300, 1), 1: (300, 1), 2: (260, 1), 3: (260, 1), 4: (0, 0)}
+
+
+def test_recall_where_not_all_rows_are_probed(spark):
+    from lattiq.llm import ann
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 16)) * 3
+    x = (centres[rng.integers(60, size=6000)] + rng.normal(size=(6000, 16))).astype(np.float32).astype(float)
+    books = ann.kmeans(x[:, :8], 35), ann.kmeans(x[:, 8:], 35)
+    assert ann.share_for(x, *books, 10) < 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q, got in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({v for _, v, _ in got} & set(np.argsort(d, kind="stable")[:10].tolist()))
+        assert [k for k, _, _ in sorted(got)] == list(range(1, 11)) and all(abs(s - d[v]) < 1e-12 for _, v, s in got)
+    assert len(found) == 60 and hits >= 0.9 * 600
