@@ -117,7 +117,7 @@ def test_windows(docs, rows):
 
 @pytest.mark.parametrize("in_memory", [2000, 0])
 def test_bytes(docs, rows, monkeypatch, in_memory):
-    monkeypatch.setattr(suffix_array_dedup, "IN_MEMORY_RUNS", in_memory)
+    monkeypatch.setattr(suffix_array_dedup, "GROUP_RUNS", in_memory)
     seen = Counter(d[i : i + 200] for r in rows for d in [(r[1] or "").encode()] for i in range(len(d) - 199))
     got = {r.doc_id: r for r in suffix_array_dedup.without_repeats(docs).collect()}
     for r in rows:
