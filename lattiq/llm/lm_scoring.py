@@ -5,7 +5,10 @@ log10 P(word | class).  Exchange clustering puts the most frequent training word
 classes (it maximises the likelihood of the class bigrams, moving one word at a time).
 These words and the classes grow with the vocabulary: CLUSTERED words or the square root
 of the number of types if that is more, and CLASSES classes times the square root of the
-growth.  A distributed pass counts the neighbours of every other training word against
+growth.  The words are dealt to parts of CLUSTERED at most; in each sweep a part moves its
+own words one by one, with the other parts' words where the last sweep left them.  The
+neighbours of the clustered words stay in a table; the driver holds the class of each and
+counts of pairs of classes.  A distributed pass counts the neighbours of every other training word against
 these classes, text edges and words without a class yet, and puts it where the likelihood
 gains most.  A word seen once counts for UNSEEN of its occurrence as an unseen word, so that
 unseen words have a class of their own with transitions.  Counts, class transitions and
@@ -105,8 +108,8 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(back, n, len(out)).astype(np.int64)
 
 
-def bigrams(blocks: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbours (a, b, n) in training texts, one of them frequent at least; k stands for other words, k + 1 for edges."""
+def bigrams(blocks: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Neighbours in training texts, one of them frequent at least: pair (a * (k + 2) + b), n; k stands for other words, k + 1 for edges."""
     k = len(frequent)
     order = np.argsort(frequent)
     shared = blocks.sparkSession.sparkContext.broadcast((frequent[order], order))
@@ -129,57 +132,132 @@ def bigrams(blocks: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.nda
         if held:
             yield out()
 
-    table = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # pairs of the frequent words only
-    pair = table["pair"].to_numpy()
-    return pair // (k + 2), pair % (k + 2), table["n"].to_numpy().astype(float)
+    return blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
-    """Classes of words, most frequent first, by exchange clustering of their bigram counts."""
-    a, b = np.nonzero(pairs)
-    return exchange_pairs(len(pairs), a, b, pairs[a, b], classes, sweeps)
-
+def sweep(own: np.ndarray, both: np.ndarray, inner: tuple[np.ndarray, np.ndarray, np.ndarray], right_of: np.ndarray, left_of: np.ndarray) -> int:
+    """Move each of the words once to the class that raises the likelihood most; own and both change; returns the words moved.
 
-def exchange_pairs(k: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
-    """Exchange clustering of k words by the counts n of the neighbours a, b."""
-    own = np.arange(k) % classes
+    both: counts of pairs of classes of all words.  inner: neighbours (a, b, n) among these words; right_of and left_of:
+    counts of each word's other neighbours, behind and before it, by class.
+    """
+    k, classes = len(own), len(both)
+    a, b, n = inner
     by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     to, n_to, from_, n_from = b[by_a], n[by_a], a[by_b], n[by_b]
     cut_a, cut_b = np.searchsorted(a[by_a], np.arange(k + 1)), np.searchsorted(b[by_b], np.arange(k + 1))
+    moved = 0
+    for w in range(k):
+        x, y = slice(cut_a[w], cut_a[w + 1]), slice(cut_b[w], cut_b[w + 1])
+        old, self_n = own[w], n_to[x][to[x] == w].sum()
+        right = right_of[w] + np.bincount(own[to[x]], n_to[x], classes)
+        left = left_of[w] + np.bincount(own[from_[y]], n_from[y], classes)
+        right[old] -= self_n
+        left[old] -= self_n
+        both[old] -= right
+        both[:, old] -= left
+        both[old, old] -= self_n
+        # the gain of class g: row and column g grow by right and left, the cell where they meet by both
+        gain = f(both + right[None, :]).sum(1) - f(both).sum(1) + f(both + left[:, None]).sum(0) - f(both).sum(0)
+        d = np.diag(both)
+        gain += f(d + right + left + self_n) - f(d + right) - f(d + left) + f(d)
+        rows, cols = both.sum(1) + left, both.sum(0) + right  # what the word adds to other classes' margins whatever its own class
+        gain -= f(rows + right.sum() + self_n) - f(rows) + f(cols + left.sum() + self_n) - f(cols)
+        new = int(np.argmax(gain))
+        if gain[new] <= gain[old] + 1e-9:
+            new = old
+        both[new] += right
+        both[:, new] += left
+        both[new, new] += self_n
+        own[w] = new
+        moved += new != old
+    return moved
+
+
+def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
+    """Classes of words, most frequent first, by exchange clustering of their bigram counts in one part."""
+    k = len(pairs)
+    a, b = np.nonzero(pairs)
+    own, none = np.arange(k) % classes, np.zeros((k, classes))
     both = np.zeros((classes, classes))
-    np.add.at(both, (own[a], own[b]), n)
+    np.add.at(both, (own[a], own[b]), pairs[a, b])
     for _ in range(sweeps):
-        moved = 0
-        for w in range(k):
-            x, y = slice(cut_a[w], cut_a[w + 1]), slice(cut_b[w], cut_b[w + 1])
-            old, self_n = own[w], n_to[x][to[x] == w].sum()
-            right = np.bincount(own[to[x]], n_to[x], classes)
-            left = np.bincount(own[from_[y]], n_from[y], classes)
-            right[old] -= self_n
-            left[old] -= self_n
-            both[old] -= right
-            both[:, old] -= left
-            both[old, old] -= self_n
-            # the gain of class g: row and column g grow by right and left, the cell where they meet by both
-            gain = f(both + right[None, :]).sum(1) - f(both).sum(1) + f(both + left[:, None]).sum(0) - f(both).sum(0)
-            d = np.diag(both)
-            gain += f(d + right + left + self_n) - f(d + right) - f(d + left) + f(d)
-            rows, cols = both.sum(1) + left, both.sum(0) + right  # what the word adds to other classes' margins whatever its own class
-            gain -= f(rows + right.sum() + self_n) - f(rows) + f(cols + left.sum() + self_n) - f(cols)
-            new = int(np.argmax(gain))
-            if gain[new] <= gain[old] + 1e-9:
-                new = old
-            both[new] += right
-            both[:, new] += left
-            both[new, new] += self_n
-            own[w] = new
-            moved += new != old
-        if not moved:
+        if not sweep(own, both, (a, b, pairs[a, b]), none, none):
+            break
+    return own
+
+
+def class_pairs(pairs: DataFrame, own: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes, with other words and edges as the last two kinds."""
+    k, kinds = len(own), classes + 2
+    shared = pairs.sparkSession.sparkContext.broadcast(np.concatenate((own, [classes, classes + 1])))
+
+    def run(batches):
+        seen = np.zeros(kinds * kinds, np.int64)
+        for batch in batches:
+            pair, n = batch.column("pair").to_numpy(), batch.column("n").to_numpy()
+            np.add.at(seen, shared.value[pair // (k + 2)] * kinds + shared.value[pair % (k + 2)], n)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["cell", "n"])
+
+    table = pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most kinds**2 rows
+    out = np.zeros(kinds * kinds)
+    out[table["cell"].to_numpy()] = table["n"].to_numpy()
+    return out.reshape(kinds, kinds)
+
+
+def swept(pairs: DataFrame, own: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The classes of the clustered words after a sweep of every part over its own."""
+    k, classes = len(own), len(both)
+    parts = -(-k // CLUSTERED)
+    width = classes + -(-k // parts)  # a neighbour is a class, or a word of the same part
+    shared = pairs.sparkSession.sparkContext.broadcast((own, both))
+
+    def deal(batches):
+        for batch in batches:
+            own = shared.value[0]
+            pair, n = batch.column("pair").to_numpy(), batch.column("n").to_numpy()
+            a, b = pair // (k + 2), pair % (k + 2)
+            inner = (a < k) & (b < k)
+            a, b, n = a[inner], b[inner], n[inner]
+            same = a % parts == b % parts
+            behind = np.where(same, classes + b // parts, own[b])
+            key = np.concatenate((a // parts * 2 * width + behind, ((b // parts * 2 + 1) * width + own[a])[~same]))
+            part = np.concatenate((a % parts, (b % parts)[~same]))
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), pa.array(np.concatenate((n, n[~same])))], names=["part", "key", "n"])
+
+    schema = pa.schema([("word", pa.int64()), ("g", pa.int64())])
+
+    def move(table):
+        own, both = shared.value
+        members = np.arange(table["part"][0].as_py(), k, parts)
+        mine = own[members]
+        key, n = table["key"].to_numpy(), table["n"].to_numpy().astype(float)
+        word, behind, code = key // (2 * width), key // width % 2 == 0, key % width
+        inner, outer = code >= classes, np.zeros((2, len(members), classes))
+        np.add.at(outer, ((~behind & ~inner).astype(int)[~inner], word[~inner], code[~inner]), n[~inner])
+        sweep(mine, both.copy(), (word[inner], code[inner] - classes, n[inner]), *outer)
+        return pa.Table.from_arrays([pa.array(members), pa.array(mine)], schema=schema)
+
+    dealt = pairs.mapInArrow(deal, "part long, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("n"))
+    table = dealt.groupBy("part").applyInArrow(move, "word long, g long").toArrow()  # a row for each clustered word
+    out = own.copy()
+    out[table["word"].to_numpy()] = table["g"].to_numpy()
+    return out
+
+
+def clustered(pairs: DataFrame, k: int, classes: int) -> np.ndarray:
+    """Exchange clustering of k words by their neighbours."""
+    own = np.arange(k) % classes
+    for _ in range(SWEEPS):
+        new = swept(pairs, own, class_pairs(pairs, own, classes)[:classes, :classes])
+        if (new == own).all():
             break
+        own = new
     return own
 
 
@@ -245,7 +323,7 @@ def assigned(found: DataFrame, right: np.ndarray, left: np.ndarray) -> DataFrame
     return found.groupBy("bucket").applyInArrow(choose, "word long, c long, g int")
 
 
-def word_classes(blocks: DataFrame, counts: DataFrame, types: int, tokens: int) -> tuple[DataFrame, int]:
+def word_classes(blocks: DataFrame, counts: DataFrame, types: int, tokens: int, scratch: Scratch) -> tuple[DataFrame, int]:
     """The class of every training word with its count (word, c, g), and the number of classes."""
     spark = blocks.sparkSession
     size, classes = vocabulary_size(types)
@@ -254,13 +332,11 @@ def word_classes(blocks: DataFrame, counts: DataFrame, types: int, tokens: int)
     k = len(frequent)
     if not k:
         return counts.select("word", "c", F.lit(0).alias("g")), classes
-    a, b, n = bigrams(blocks, frequent)
-    inner = (a < k) & (b < k)
-    own = exchange_pairs(k, a[inner], b[inner], n[inner], classes, SWEEPS)
-    kind = np.concatenate((own, [classes, classes + 1]))
-    right, left = np.zeros((classes, classes + 2)), np.zeros((classes, classes + 2))
-    np.add.at(right, (own[a[a < k]], kind[b[a < k]]), n[a < k])
-    np.add.at(left, (own[b[b < k]], kind[a[b < k]]), n[b < k])
+    pairs = scratch.keep(bigrams(blocks, frequent), "pairs")
+    own = clustered(pairs, k, classes)
+    have = class_pairs(pairs, own, classes)
+    scratch.drop("pairs")
+    right, left = have[:classes], have[:, :classes].T
     seeds = spark.createDataFrame([(int(w), int(m), int(g)) for w, m, g in zip(frequent, c, own, strict=True)], "word long, c long, g int")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // ENTRIES))
     rest = assigned(neighbours(blocks, frequent, own, classes, buckets), right, left)
@@ -281,7 +357,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     trained = blocks.select(F.explode("train").alias("t")).where("t").count()  # the end of each training text is a token
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, n_types = int(stats[0]) + trained, int(stats[1]) + bool(trained)
-    classed, classes = word_classes(blocks, counts, n_types, n_all)
+    classed, classes = word_classes(blocks, counts, n_types, n_all, scratch)
     classed = scratch.keep(classed, "classed")
     rare, edge = classes, classes + 1  # unseen words; text ends, and what stands before a text
     used = F.when(F.col("c") == 1, 1 - UNSEEN).otherwise(F.col("c"))

@@ -219,6 +219,87 @@ def test_exchange_finds_classes():
     assert own[0] == own[3] == own[4] and own[1] == own[2] == own[5] and own[0] != own[1]
 
 
+def test_exchange_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    k, classes = 24, 4
+    kind = rng.permutation(np.arange(k) % classes)
+    pairs = np.array([[40 if kind[b] == (kind[a] + 1) % classes else rng.integers(0, 3) for b in range(k)] for a in range(k)])
+    pairs = np.pad(pairs, (0, 2), constant_values=1)  # other words and edges
+    df = spark.createDataFrame([(a * (k + 2) + b, int(pairs[a, b])) for a in range(k + 2) for b in range(k + 2) if min(a, b) < k and pairs[a, b]], "pair long, n long").repartition(3)
+    own = lm_scoring.clustered(df, k, classes)
+    assert (own == lm_scoring.exchange(pairs[:k, :k], classes, lm_scoring.SWEEPS)).all()  # one part is plain exchange
+    have = lm_scoring.class_pairs(df, own, classes)
+    want = np.zeros((classes + 2, classes + 2))
+    for a in range(k + 2):
+        for b in range(k + 2):
+            if min(a, b) < k:
+                want[[*own, classes, classes + 1][a], [*own, classes, classes + 1][b]] += pairs[a, b]
+    assert (have == want).all()
+    monkeypatch.setattr(lm_scoring, "CLUSTERED", 9)
+    monkeypatch.setattr(lm_scoring, "SWEEPS", 1)
+    likelihood = lambda own: (lambda m: lm_scoring.f(m).sum() - lm_scoring.f(m.sum(0)).sum() - lm_scoring.f(m.sum(1)).sum())(lm_scoring.class_pairs(df, own, classes)[:classes, :classes])
+    start = np.arange(k) % classes
+    assert likelihood(lm_scoring.clustered(df, k, classes)) > likelihood(start)
+    # a part's words move as if all others stood still
+    both, got = lm_scoring.class_pairs(df, start, classes)[:classes, :classes], lm_scoring.swept(df, start, lm_scoring.class_pairs(df, start, classes)[:classes, :classes])
+    for part in range(3):
+        members = np.arange(part, k, 3)
+        mine, fixed = start[members], np.setdiff1d(np.arange(k), members)
+        right, left = np.zeros((len(members), classes)), np.zeros((len(members), classes))
+        for i, w in enumerate(members):
+            np.add.at(right[i], start[fixed], pairs[w, fixed])
+            np.add.at(left[i], start[fixed], pairs[fixed, w])
+        inner = pairs[np.ix_(members, members)]
+        a, b = np.nonzero(inner)
+        lm_scoring.sweep(mine, both.copy(), (a, b, inner[a, b].astype(float)), right, left)
+        assert (got[members] == mine).all()
+
+
+def test_language_model_score_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CLUSTERED", 8)
+    monkeypatch.setattr(lm_scoring, "CLASSES", 3)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghij") + str(int(rng.expovariate(0.5))) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + [None, "never seen", "A1 a1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    plain = lm_scoring.word_classes
+
+    def spy(*args):
+        classed, classes = plain(*args)
+        rows = classed.collect()
+        seen.update({r.word: (r.c, r.g) for r in rows})
+        return spark.createDataFrame(rows, classed.schema), classes
+
+    monkeypatch.setattr(lm_scoring, "word_classes", spy)
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, F.col("doc_id") % 3 != 0).collect()}
+    name = lambda w: int(lm_scoring.Words(w, lower=True).grams(1)[0])
+    split = {i: (t or "").lower().split() for i, t in enumerate(texts)}
+    count = Counter(w for i, ws in split.items() if i % 3 for w in ws)
+    assert {name(w): c for w, c in count.items()} == {h: c for h, (c, _) in seen.items()}
+    classes = lm_scoring.vocabulary_size(len(count) + 1)[1]
+    rare, edge = classes, classes + 1
+    mass = Counter()
+    for w, c in count.items():
+        mass[seen[name(w)][1]] += 0.5 if c == 1 else c
+    spread = lambda w: [(edge, 1.0)] if w is None else [(seen[name(w)][1], 0.5), (rare, 0.5)] if count[w] == 1 else [(seen[name(w)][1], 1.0)]
+    n = np.zeros((edge + 1, edge + 1))
+    for i, ws in split.items():
+        if i % 3:
+            for a, b in zip([None, *ws], [*ws, None], strict=True):
+                for x, p in spread(a):
+                    for y, q in spread(b):
+                        n[x, y] += p * q
+    single = (n.sum(0) + 1) / (n.sum() + len(n))
+    kinds = np.maximum((n > 0).sum(1), 1)[:, None]
+    p = (n + kinds * single) / (n.sum(1)[:, None] + kinds)
+    once = sum(c == 1 for c in count.values())
+    for i, ws in split.items():
+        g = [edge, *(seen[name(w)][1] if w in count else rare for w in ws), edge]
+        emit = sum(math.log10((0.5 if count[w] == 1 else count[w]) / mass[seen[name(w)][1]]) if w in count else -math.log10(once + 1) for w in ws)
+        assert math.isclose(got[i], emit + sum(math.log10(p[x, y]) for x, y in zip(g, g[1:], strict=False)), abs_tol=1e-9)
+    assert np.allclose(p.sum(1), 1)
+
+
 def test_bpe(docs, rows):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_path()
