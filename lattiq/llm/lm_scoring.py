@@ -41,6 +41,8 @@ SWEEPS = 3
 BLOCK_BYTES = 4_000_000
 #: Neighbour counts that one task holds at a time, about.
 ENTRIES = 4_000_000
+#: Neighbour counts whose gains are computed at a time; small, so that they stay in the processor's cache.
+GAINS = 3_000
 #: Share of words seen once that goes to unseen words.
 UNSEEN = 0.5
 #: Marks, beside its class, a word seen once.
@@ -162,7 +164,8 @@ def sweep(own: np.ndarray, both: np.ndarray, inner: tuple[np.ndarray, np.ndarray
         both[:, old] -= left
         both[old, old] -= self_n
         # the gain of class g: row and column g grow by right and left, the cell where they meet by both
-        gain = f(both + right[None, :]).sum(1) - f(both).sum(1) + f(both + left[:, None]).sum(0) - f(both).sum(0)
+        base = f(both)
+        gain = f(both + right[None, :]).sum(1) - base.sum(1) + f(both + left[:, None]).sum(0) - base.sum(0)
         d = np.diag(both)
         gain += f(d + right + left + self_n) - f(d + right) - f(d + left) + f(d)
         rows, cols = both.sum(1) + left, both.sum(0) + right  # what the word adds to other classes' margins whatever its own class
@@ -306,8 +309,8 @@ def assigned(found: DataFrame, right: np.ndarray, left: np.ndarray) -> DataFrame
         g = np.zeros(len(words), np.int32)
         begin = np.searchsorted(who, np.arange(len(words) + 1))
         lo = 0
-        while lo < len(words):  # about 50,000 counts at a time, whole words
-            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + 50_000, side="right")) - 1)
+        while lo < len(words):  # about GAINS counts at a time, whole words
+            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + GAINS, side="right")) - 1)
             x = slice(begin[lo], begin[hi])
             gain = once[code[x]]
             several = np.flatnonzero(n[x] > 1)
