@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattiq.llm import ann, bpe, exact_dedup, language_id, license_scan, lm_scoring, mixing, ngram_join, substring_dedup, suffix_array_dedup
+from lattiq.llm import ann, bpe, collocations, exact_dedup, html_extraction, language_id, license_scan, lm_scoring, mixing, ngram_join, resampling, substring_dedup, suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": ann.op8_ann,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_bpe": bpe.op10_bpe,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_html_extraction": html_extraction.op12_html_extraction,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": ngram_join.SQL,
@@ -26,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_suffix_array_dedup": suffix_array_dedup.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_license_scan": license_scan.SQL,
+    "op11_collocations": collocations.SQL,
 }
