@@ -7,8 +7,8 @@ words, with a gap between pieces, and every block is turned into vertical lists:
    which go back to the blocks that hold them.
 2. In each block the lists of the frequent phrases of k words are merged with the lists of the frequent phrases that begin
    one place later (for k = 1 these are the postings of the adjacent word).  Where both meet, a phrase of k + 1 words occurs; it
-   is named by the pair of numbers, so equal names are equal phrases, without hashing.  Again lengths are summed, frequent
-   phrases get numbers, and only their lists are extended.
+   is named by the pair of numbers, so equal names are equal phrases; numbers are hashes, of which no two may be the same.  Again lengths
+   are summed, and only the lists of frequent phrases are extended.  Pairs are counted in PASSES parts, which bounds the space of the shuffle.
 3. The pair also names the longest parts of a phrase at both ends.  Joins on numbers give the frequencies of all cuts,
    the scores, and the shorter candidates that a longer one covers.
 
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Scratch, arrow, documents, rows_of
+from lattiq.llm.common import BASE, Scratch, arrow, documents, mix, rows_of
 
 LEAST = 30
 LONGEST = 4
@@ -86,7 +86,7 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_words: int) -> D
             order = at[np.argsort(place[at], kind="stable")]
             sizes = np.bincount(place[at], minlength=len(number) + 1)[1:]
             words = [w.decode("utf-8", "surrogatepass") for w in number]
-            return arrow(BLOCKS, [(task << 32 | next(made), lang, words, sizes.astype("<i4").tobytes(), packed(order, sizes))])
+            return arrow(BLOCKS, [(task << 12 | next(made), lang, words, sizes.astype("<i4").tobytes(), packed(order, sizes))])
 
         for rows in rows_of(batches, "lang", "text"):
             for lang, text in rows:
@@ -123,17 +123,44 @@ def word_rows(lists: DataFrame) -> DataFrame:
     return lists.select("block", "lang", "words", "sizes").mapInArrow(run, "block long, lang string, place int, word string, n long")
 
 
-def pair_rows(lists: DataFrame) -> DataFrame:
-    """(block, place, p, s, n): a row for each list of each block."""
-    schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("p", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
+#: Parts that the pairs of a level are counted in, one after the other: only one stands in shuffle files at a time.
+PASSES = 4
+
+
+def pair_rows(lists: DataFrame, part: int) -> DataFrame:
+    """(at, p, s, n): a row for each list of each block whose pair is in the part; at is the block and the place of the list."""
+    schema = pa.schema([("at", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
         for rows in rows_of(batches, "block", "p", "s", "sizes"):
             for block, p, s, sizes in rows:
-                n = np.frombuffer(sizes, "<i4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(np.frombuffer(p, "<i8")), pa.array(np.frombuffer(s, "<i8")), pa.array(n)], schema=schema)
+                p, s, n = np.frombuffer(p, "<i8"), np.frombuffer(s, "<i8"), np.frombuffer(sizes, "<i4")
+                mine = np.flatnonzero(mix(p.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)) % np.uint64(PASSES) == part)
+                yield pa.RecordBatch.from_arrays([pa.array((block << 32) + mine), pa.array(p[mine]), pa.array(s[mine]), pa.array(n[mine])], schema=schema)
+
+    return lists.select("block", "p", "s", "sizes").mapInArrow(run, "at long, p long, s long, n int")
+
 
-    return lists.select("block", "p", "s", "sizes").mapInArrow(run, "block long, place int, p long, s long, n long")
+def counted(lists: DataFrame, least: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(found: (p, s, f, id) of the frequent pairs, kept: (block, place, id) of their lists).
+
+    One shuffle brings the rows of a pair together, one a block, where they are summed and stay if the pair is frequent.
+    """
+    pair = Window.partitionBy("p", "s")
+    parts = []
+    for part in range(PASSES):
+        rows = pair_rows(lists, part).withColumns({"f": F.sum("n").over(pair), "first": F.row_number().over(pair.orderBy("at")) == 1})
+        parts.append(scratch.keep(rows.where(F.col("f") >= least).select("at", "p", "s", "f", "first"), f"{name}-{part}", "zstd"))
+    kept = parts[0]
+    for x in parts[1:]:
+        kept = kept.unionByName(x)
+    found = kept.where("first").select("p", "s", "f")
+    for seed in range(64):
+        number = F.xxhash64("p", "s", F.lit(seed))
+        numbered = found.withColumn("id", number)
+        if numbered.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():  # else two pairs share a number
+            break
+    return numbered, kept.select(F.shiftright("at", 32).alias("block"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), number.alias("id"))
 
 
 PAIRS = pa.schema([("block", pa.int64()), ("p", pa.binary()), ("s", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
@@ -173,10 +200,6 @@ def extended(lists: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, p binary, s binary, sizes binary, places binary")
 
 
-def frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    return rows.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-
-
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS) -> tuple[list[DataFrame], DataFrame, Scratch]:
     """(tables of the frequent phrases of 1 to longest words, words (lang, n) in all, their scratch tables).
 
@@ -187,20 +210,20 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     lists = scratch.keep(blocks(docs, text_col, lang_col, block_words), "lists1", "zstd")
     rows = word_rows(lists)
     sums = scratch.keep(rows.groupBy("lang").agg(F.sum("n").alias("n")), "sums")
-    words = frequent(rows, ["lang", "word"], least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("s"), F.col("word").alias("last"), F.array("f").alias("lefts"), F.array("f").alias("rights"), F.expr("cast(array() as array<struct<l:long,r:long>>)").alias("cuts"))
+    words = rows.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "f", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("s"), F.col("word").alias("last"), F.array("f").alias("lefts"), F.array("f").alias("rights"), F.expr("cast(array() as array<struct<l:long,r:long>>)").alias("cuts"))
     tables = [scratch.keep(words, "phrases1")]
     kept = rows.join(tables[0].select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("block", "place", "id")
     for k in range(2, longest + 1):
         longer = scratch.keep(extended(lists, kept), f"lists{k}", "zstd")
-        scratch.drop(f"lists{k - 1}")
-        lists, rows, short = longer, pair_rows(longer), tables[-1]
-        found = scratch.keep(frequent(rows, ["p", "s"], least).withColumn("id", F.monotonically_increasing_id()), f"found{k}")
+        scratch.drop(f"lists{k - 1}", *(f"kept{k - 1}-{part}" for part in range(PASSES)))
+        lists, short = longer, tables[-1]
+        found, kept = counted(longer, least, scratch, f"kept{k}")
         a = short.select(F.col("id").alias("p"), "lang", F.col("phrase").alias("_head"), F.col("lefts").alias("_l"))
         b = short.select(F.col("id").alias("s"), F.col("last").alias("_last"), F.col("rights").alias("_r"))
         both = found.join(a, "p").join(b, "s")
         cuts = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.struct(F.element_at("_l", i).alias("l"), F.element_at("_r", F.lit(k) - i).alias("r")))
         tables.append(scratch.keep(both.select("id", "lang", F.concat_ws(" ", "_head", "_last").alias("phrase"), "f", "p", "s", F.col("_last").alias("last"), F.concat("_l", F.array("f")).alias("lefts"), F.concat("_r", F.array("f")).alias("rights"), cuts.alias("cuts")), f"phrases{k}"))
-        kept = rows.join(found.select("p", "s", "id"), ["p", "s"]).select("block", "place", "id")
+    scratch.drop(f"lists{longest}", *(f"kept{longest}-{part}" for part in range(PASSES)))
     return tables, sums, scratch
 
 
@@ -239,7 +262,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = whole.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= report)
     found = scratch.keep(best.join(sums, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "report")
-    scratch.drop("sums", f"lists{longest}", *(f"phrases{k}" for k in range(1, longest + 1)), *(f"found{k}" for k in range(2, longest + 1)))
+    scratch.drop("sums", *(f"phrases{k}" for k in range(1, longest + 1)))
     return found
 
 
