@@ -123,11 +123,13 @@ def word_rows(lists: DataFrame) -> DataFrame:
     return lists.select("block", "lang", "words", "sizes").mapInArrow(run, "block long, lang string, place int, word string, n long")
 
 
-#: Parts that the pairs of a level are counted in, one after the other: only one stands in shuffle files at a time.
-PASSES = 4
+#: Parts that the pairs of a level are counted in, one after the other, so that only one stands in shuffle files at a time; and the rows of a part, for fewer.
+PASSES, PASS_ROWS = 4, 4_000_000
+#: Bits of the place of a list in its block.
+PLACE = 28
 
 
-def pair_rows(lists: DataFrame, part: int) -> DataFrame:
+def pair_rows(lists: DataFrame, part: int, passes: int) -> DataFrame:
     """(at, p, s, n): a row for each list of each block whose pair is in the part; at is the block and the place of the list."""
     schema = pa.schema([("at", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("n", pa.int32())])
 
@@ -135,8 +137,8 @@ def pair_rows(lists: DataFrame, part: int) -> DataFrame:
         for rows in rows_of(batches, "block", "p", "s", "sizes"):
             for block, p, s, sizes in rows:
                 p, s, n = np.frombuffer(p, "<i8"), np.frombuffer(s, "<i8"), np.frombuffer(sizes, "<i4")
-                mine = np.flatnonzero(mix(p.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)) % np.uint64(PASSES) == part)
-                yield pa.RecordBatch.from_arrays([pa.array((block << 32) + mine), pa.array(p[mine]), pa.array(s[mine]), pa.array(n[mine])], schema=schema)
+                mine = np.flatnonzero(mix(p.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)) % np.uint64(passes) == part)
+                yield pa.RecordBatch.from_arrays([pa.array((block << PLACE) + mine), pa.array(p[mine]), pa.array(s[mine]), pa.array(n[mine])], schema=schema)
 
     return lists.select("block", "p", "s", "sizes").mapInArrow(run, "at long, p long, s long, n int")
 
@@ -147,9 +149,9 @@ def counted(lists: DataFrame, least: int, scratch: Scratch, name: str) -> tuple[
     One shuffle brings the rows of a pair together, one a block, where they are summed and stay if the pair is frequent.
     """
     pair = Window.partitionBy("p", "s")
-    parts = []
-    for part in range(PASSES):
-        rows = pair_rows(lists, part).withColumns({"f": F.sum("n").over(pair), "first": F.row_number().over(pair.orderBy("at")) == 1})
+    parts, passes = [], min(PASSES, 1 + (lists.agg(F.sum("many")).first()[0] or 0) // PASS_ROWS)
+    for part in range(passes):
+        rows = pair_rows(lists, part, passes).withColumns({"f": F.sum("n").over(pair), "first": F.row_number().over(pair.orderBy("at")) == 1})
         parts.append(scratch.keep(rows.where(F.col("f") >= least).select("at", "p", "s", "f", "first"), f"{name}-{part}", "zstd"))
     kept = parts[0]
     for x in parts[1:]:
@@ -160,14 +162,14 @@ def counted(lists: DataFrame, least: int, scratch: Scratch, name: str) -> tuple[
         numbered = found.withColumn("id", number)
         if numbered.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():  # else two pairs share a number
             break
-    return numbered, kept.select(F.shiftright("at", 32).alias("block"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), number.alias("id"))
+    return numbered, kept.select(F.shiftright("at", PLACE).alias("block"), F.col("at").bitwiseAND(F.lit((1 << PLACE) - 1)).alias("place"), number.alias("id"))
 
 
-PAIRS = pa.schema([("block", pa.int64()), ("p", pa.binary()), ("s", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+PAIRS = pa.schema([("block", pa.int64()), ("many", pa.int64()), ("p", pa.binary()), ("s", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
 
 
 def extended(lists: DataFrame, kept: DataFrame) -> DataFrame:
-    """(block, p, s, sizes, places): lists of the pairs of frequent phrases that begin side by side.
+    """(block, many, p, s, sizes, places): lists (so many) of the pairs of frequent phrases that begin side by side.
 
     kept (block, kept) names the frequent ones of each block by the place of their list and their number.
     """
@@ -193,11 +195,11 @@ def extended(lists: DataFrame, kept: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(key)))
                 pair = key[first]
-                yield arrow(PAIRS, [(block, ids[pair // max(1, len(ids))].astype("<i8").tobytes(), ids[pair % max(1, len(ids))].astype("<i8").tobytes(), n.astype("<i4").tobytes(), packed(every[meet][order], n))])
+                yield arrow(PAIRS, [(block, len(pair), ids[pair // max(1, len(ids))].astype("<i8").tobytes(), ids[pair % max(1, len(ids))].astype("<i8").tobytes(), n.astype("<i4").tobytes(), packed(every[meet][order], n))])
 
     grouped = kept.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("_k"))  # the frequent lists of one block
     rows = lists.select("block", "sizes", "places").join(grouped, "block").select("block", "sizes", "places", F.col("_k.place").alias("at"), F.col("_k.id").alias("ids"))
-    return rows.mapInArrow(run, "block long, p binary, s binary, sizes binary, places binary")
+    return rows.mapInArrow(run, "block long, many long, p binary, s binary, sizes binary, places binary")
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS) -> tuple[list[DataFrame], DataFrame, Scratch]:

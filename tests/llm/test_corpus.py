@@ -347,8 +347,8 @@ def whole_texts():
     agpl = "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your\noption) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT\nANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS\nFOR A PARTICULAR PURPOSE.\n"
     free = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n"
     return [
-        (lgpl, "<32><34>", "LGPL-2.1"), (comment(lgpl), "<32><34>", "LGPL-2.1"), (mpl, "<37><39>", "MPL-2.0"), ("/*\n" + comment(mpl) + "\n */", "<37><39>", "MPL-2.0"),
-        (isc, "<24>", "ISC"), (gpl3, "<26>", "GPL-3.0"), (agpl, "<36><11>", "AGPL-3.0"), (free, "<42><43>", "Unlicense"),
+        (lgpl, "<209><11>", "LGPL-2.1-or-later"), (comment(lgpl), "<209><11>", "LGPL-2.1-or-later"), (mpl, "<37><39>", "MPL-2.0"), ("/*\n" + comment(mpl) + "\n */", "<37><39>", "MPL-2.0"),
+        (isc, "<24>", "ISC"), (gpl3, "<26>", "GPL-3.0-only"), (agpl, "<213><11>", "AGPL-3.0-or-later"), (free, "<42><43>", "Unlicense"),
         ("// SPDX-License-Identifier: Apache-2.0\nint x;", "<101>", "Apache-2.0"), ("# SPDX-License-Identifier: GPL-3.0-or-later\n\nx = 1", "<105>", "GPL-3.0-or-later"),
         ("MIT License\n\nCopyright (c) 2020 A", "<55>", ""), ("a licence to print money", "", ""),
     ]
@@ -359,9 +359,34 @@ def test_license_in_wrapped_text(spark):
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n"
     bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n *\n * 1. Redistributions of source code must retain the above copyright notice, this\n *    list of conditions and the following disclaimer.\n * 3. Neither the name of the copyright holder nor the names of its\n *    contributors may be used to endorse or promote products derived from\n *    this software without specific prior written permission.\n"
     apache = '/* Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n * Unless required by law */'
-    cases = [(mit, "<3><4>", "MIT"), (gpl, "<10><11>", "GPL-3.0"), (bsd, "<15><16><17>", "BSD-2-Clause,BSD-3-Clause"), (apache, "<6><7><8>", "Apache-2.0")]
+    cases = [(mit, "<3><4>", "MIT"), (gpl, "<205><11>", "GPL-3.0-or-later"), (bsd, "<15><16><17>", "BSD-3-Clause"), (apache, "<301><7><8>", "Apache-2.0")]
     cases += whole_texts()
-    cases += [("This project is licensed under the MIT License.", "<2>", "MIT"), ("Released under the MIT License; see the file", "<1>", "MIT"), ("This project is not licensed under the MIT License.", "", "")]
+    cases += [("This project is licensed under the MIT License.", "<300>", "MIT"), ("Released under the MIT License; see the file", "<300>", "MIT"), ("This project is not licensed under the MIT License.", "", "")]
     docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.license_scan(docs).collect()}
     assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
+
+
+def test_license_by_consuming_rules(spark):
+    """Names in their slots, grants with and without later versions, choices, expressions: exactly the licences that are named."""
+    head = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    name = "3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    grant = "{} is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, {}.\n"
+    cases = [
+        (head + name.format("the copyright holder"), "BSD-3-Clause"), (head + name.format("Acme Inc."), "BSD-3-Clause"), (head + name.format("the University of California, Berkeley"), "BSD-3-Clause"), (head, "BSD-2-Clause"),
+        (head + name.format("Acme") + "\n" + head, "BSD-2-Clause,BSD-3-Clause"),
+        (grant.format("Foo", "either version 3 of the License, or\n(at your option) any later version"), "GPL-3.0-or-later"), (grant.format("The Foo program", "version 2 of the License"), "GPL-2.0-only"), (grant.format("This program", "either version 2 of the License, or (at your option) any later version"), "GPL-2.0-or-later"),
+        ("This work is licensed under the GNU General Public License version 3.", "GPL-3.0-only"), ("Foo is released under the GNU General Public License v3", "GPL-3.0-only"), ("Licensed under GPLv2 or later.", "GPL-2.0-or-later"),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0,MIT"), ("// SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "BSD-3-Clause,GPL-2.0-only"), ("SPDX-License-Identifier: Foo-1.0", ""), ("Licensed under the Foo License, version 9.", ""), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+    ]
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert [(cases[i][0], got[i].licenses) for i in range(len(cases))] == cases
+    assert [got[i].unknown for i in (15, 16)] == [["Foo-1.0"], ["licensed under the foo license version 9"]] and all(not got[i].unknown for i in range(15))
+
+
+def test_license_in_a_text_of_megabytes(spark):
+    text = "some words of no licence at all.\n" * 60_000 + "\nReleased under the MIT License.\n"
+    docs = spark.createDataFrame([(1, text), (None, None), (1, ""), (1, "MIT License")], "doc_id long, text string").withColumn("unknown", F.lit(1)).withColumn("_m", F.lit("x"))
+    assert sorted(r.licenses for r in license_scan.license_scan(docs).collect()) == ["", "", "", "MIT"]
