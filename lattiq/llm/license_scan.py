@@ -169,16 +169,17 @@ TAG_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
 EXPRESSION = rf"(?i)SPDX-License-Identifier:[ \t]*(\(*{TAG_ID}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{TAG_ID}\)*)*)"
 
 
-def slot(text: str) -> str:
-    return text.replace("*", f"{WORD}(?: {WORD}){{0,7}}?")
+def slot(text: str, gap: str = " ") -> str:
+    """The pattern of a text with a name in it; a name may have full stops, which a gap stands for."""
+    return text.replace(" * ", f"{gap}{WORD}(?:{gap}{WORD}){{0,7}}?{gap}")
 
 
 def sentence_pattern() -> str:
     """Matches any known sentence in normalised text; group 1 is the sentence without its subject."""
     texts = [s for s in WHOLE if not s.startswith(GRANT)]
-    every = f"{GRANT}(?:{ONE_OF(GRANTS)})|{NOTICE}|{ONE_OF([*texts, *map(slot, SLOTTED)])}"
+    every = f"{GRANT}(?:{ONE_OF(GRANTS)})|{NOTICE}|{ONE_OF([*texts, *(slot(t, "~") for t in SLOTTED)])}"
     # words may stand on lines of their own; an address may stand in a paragraph of its own; "v. 2" ends no sentence
-    wrapped = lambda t: t.replace(" ", "[ CL]").replace("[ CL]http", "[ CLS]http").replace("[ CL]v[ CL]", "[ CL]v[ CLS]")
+    wrapped = lambda t: t.replace(" ", "[ CL]").replace("[ CL]http", "[ CLS]http").replace("[ CL]v[ CL]", "[ CL]v[ CLS]").replace("~", "[ CLS]")
     return rf"(?<![^SCL]){SUBJECT.replace(' ', '[ CL]')}({wrapped(every)})(?![^SCL])"
 
 
