@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cells of cost tables that a task holds at a time, about (a longer pair is held alone).
+#: Cells of cost tables that a task holds at a time, about; a pair with more is aligned by ``long_path``.
 CELLS = 30_000_000
 
 CELL = "struct<c:int,m:int,d:int,i:int,s:int,path:string>"
@@ -111,12 +111,81 @@ def table_paths(refs: list[list], hyps: list[list], cost: tuple[int, int, int])
     return [letters[row[row > 0][::-1]].tobytes().decode() for row in out]
 
 
+#: Ranges of anti-diagonals that a longer one is cut into.
+PARTS = 32
+
+
+def long_path(ref: list, hyp: list, cost: tuple[int, int, int], cells: int | None = None) -> str:
+    """The path of one pair in little space: the same as that of the whole table.
+
+    Costs go forward one anti-diagonal after the other, and only the two at the begin of each of PARTS ranges stay.  Then ranges
+    are taken from the last to the first; one that has more than ``cells`` cells is cut again, others get a table of steps that
+    is walked back.  Space is cells bytes and PARTS anti-diagonals a level; time grows by a factor for each level.
+    """
+    cells = CELLS if cells is None else cells
+    deletion, insertion, substitution = cost
+    known: dict = {}
+    number = lambda tokens: np.array([0, *(known.setdefault(t, len(known) + 1) for t in tokens)], np.int32)
+    r, h = number(ref), number(hyp)
+    n, m = len(r) - 1, len(h) - 1
+
+    def advance(before, last, d, back=None):
+        now = np.zeros(m + 1, np.int32)
+        lo, hi = max(1, d - n), min(m, d - 1)
+        if lo <= hi:
+            left, up, across = last[lo : hi + 1] + deletion, last[lo - 1 : hi] + insertion, before[lo - 1 : hi]
+            same = h[lo : hi + 1] == r[d - hi : d - lo + 1][::-1]
+            swap = across + substitution
+            best = np.minimum(np.minimum(left, up), swap)
+            now[lo : hi + 1] = np.where(same, across, best)
+            if back is not None:
+                back[lo : hi + 1] = np.where(same, 3, np.where(left == best, 0, np.where(up == best, 1, 2)))
+        if d <= n:
+            now[0] = d * deletion
+        if d <= m:
+            now[d] = d * insertion
+        return last, now
+
+    out = bytearray()
+
+    def walk(lo, hi, before, last, p, q):
+        """Steps back from the cell (p, q), on the anti-diagonal hi at most, to lo or before; before and last are those of lo - 1 and lo."""
+        if hi - lo <= 2 or (hi - lo) * (m + 1) <= cells:
+            back = np.zeros((hi - lo, m + 1), np.uint8)
+            for d in range(lo + 1, hi + 1):
+                before, last = advance(before, last, d, back[d - lo - 1])
+            while p + q > lo:
+                step = 1 if not q else 0 if not p else back[p + q - lo - 1, p]
+                out.append(b"DISM"[step])
+                p, q = p - (step != 0), q - (step != 1)
+            return p, q
+        size = -(-(hi - lo) // PARTS)
+        starts = list(range(lo, hi, size))
+        kept = []
+        for a in starts:
+            kept.append((before, last))
+            if a != starts[-1]:
+                for d in range(a + 1, a + size + 1):
+                    before, last = advance(before, last, d)
+        for a, pair in zip(reversed(starts), reversed(kept), strict=True):
+            if p + q > a:
+                p, q = walk(a, min(hi, a + size), *pair, p, q)
+            kept.pop()
+        return p, q
+
+    walk(0, n + m, np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int32), m, n)
+    return bytes(reversed(out)).decode()
+
+
 def paths(refs: list[list], hyps: list[list], cost: tuple[int, int, int] = (1, 1, 1)) -> list[str]:
     """The paths of many pairs; cost: deletion, insertion, substitution."""
     order = sorted(range(len(refs)), key=lambda i: (len(refs[i]), len(hyps[i])))
     out, part = [""] * len(refs), []
 
     def work() -> None:
+        if len(part) == 1 and (len(refs[part[0]]) + 1) * (len(hyps[part[0]]) + 1) > CELLS:
+            out[part[0]] = long_path(refs[part[0]], hyps[part[0]], cost)
+            return
         for i, path in zip(part, table_paths([refs[i] for i in part], [hyps[i] for i in part], cost), strict=True):
             out[i] = path
 
@@ -144,8 +213,22 @@ def with_path(pairs: DataFrame, ref: str, hyp: str, cost: tuple[int, int, int] =
 
 
 def aligned_pairs(ref: Column, hyp: Column, path: Column) -> Column:
-    """(pos, op, ref, hyp) for each step of a path."""
-    ops = F.transform(F.sequence(F.lit(1), F.char_length(path)), lambda k: F.substring(path, k, F.lit(1)))
-    upto = lambda k, kinds: F.char_length(F.regexp_replace(F.substring(path, F.lit(1), k), f"[^{kinds}]", ""))
-    step = lambda o, k: F.struct((k + 1).alias("pos"), o.alias("op"), F.when(o != "I", F.element_at(ref, upto(k + 1, "MSD"))).alias("ref"), F.when(o != "D", F.element_at(hyp, upto(k + 1, "MSI"))).alias("hyp"))
-    return F.when(F.char_length(path) > 0, F.transform(ops, step)).otherwise(F.array())
+    """(pos, op, ref, hyp) for each step of a path, of string tokens; empty where there is no path.  Each path is walked once."""
+
+    def walk(ref: pa.Array, hyp: pa.Array, path: pa.Array) -> pa.Array:
+        steps = [(p or "").encode() for p in path.to_pylist()]
+        size = np.array([len(p) for p in steps], np.int64)
+        op = np.frombuffer(b"".join(steps), np.uint8)
+        row = np.repeat(np.arange(len(steps)), size)
+        begin = np.cumsum(size) - size
+
+        def tokens(side: pa.Array, takes: np.ndarray) -> pa.Array:
+            upto = np.cumsum(takes)
+            before = np.concatenate(([0], upto))[begin]  # taken by earlier paths
+            first = np.array(side.offsets, np.int64)[:-1]
+            return side.values.take(pa.array(first[row] + upto - 1 - before[row], mask=~takes)).cast(pa.string())
+
+        parts = [pa.array((np.arange(len(op)) - begin[row] + 1).astype(np.int32)), pa.array([chr(o) for o in op], pa.string()), tokens(ref, op != ord("I")), tokens(hyp, op != ord("D"))]
+        return pa.ListArray.from_arrays(pa.array(np.append(begin, len(op)).astype(np.int32)), pa.StructArray.from_arrays(parts, names=["pos", "op", "ref", "hyp"]))
+
+    return F.arrow_udf(walk, "array<struct<pos:int,op:string,ref:string,hyp:string>>")(ref, hyp, path)

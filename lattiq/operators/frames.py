@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,20 +19,26 @@ def moving_average(rows: DataFrame, key: str, order: list[str], value: str, m: i
     return rows.withColumn(out, F.avg(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(-m, m)))
 
 
+def smoothed(x: np.ndarray, m: int) -> list[float]:
+    """One pass over a series: only the last m smoothed values are looked back at."""
+    out = x.tolist()
+    if len(out) > 2 * m:
+        after = np.lib.stride_tricks.sliding_window_view(x, m + 1).sum(axis=1).tolist()
+        for t in range(m, len(out) - m):
+            out[t] = (sum(out[t - m : t]) + after[t]) / (2 * m + 1)
+    return out
+
+
 def arma(series: Column, m: int) -> Column:
     """Recursive smoothing of an array: the mean of m smoothed values before and m + 1 values from here on.
 
-    The first and last m values stay as they are.
+    The first and last m values stay as they are.  Time is linear in the values.
     """
-    n = F.size(series)
 
-    def step(done: Column, t: Column) -> Column:
-        before = F.aggregate(F.slice(done, t - m, F.lit(m)), F.lit(0.0), lambda a, x: a + x)
-        after = F.aggregate(F.slice(series, t, F.lit(m + 1)), F.lit(0.0), lambda a, x: a + x)
-        return F.concat(done, F.array((before + after) / (2 * m + 1)))
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else smoothed(np.array(x, float), m))
 
-    inner = F.aggregate(F.sequence(F.lit(m + 1), n - m), F.slice(series, 1, m), step)
-    return F.when(n <= 2 * m, series).otherwise(F.concat(inner, F.slice(series, n - m + 1, F.lit(m))))
+    return F.pandas_udf(run, "array<double>")(series)
 
 
 def splice(rows: DataFrame, key: str, order: list[str], value: str, k: int, out: str = "block") -> DataFrame:

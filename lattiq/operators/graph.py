@@ -5,10 +5,10 @@ Node numbers come from content (token places, offsets), never from the order of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.operators.steps import cut, numbered, running_sum
+from lattiq.operators.steps import Folder, cut, numbered, running_sum
 
 EPS = "<eps>"
 
@@ -129,36 +129,48 @@ def best_leaving(arcs: DataFrame) -> DataFrame:
 
 
 def branches(arcs: DataFrame) -> DataFrame:
-    """arcs with column b: the place of an arc among those of its source, by target and labels."""
-    order = Window.partitionBy("src").orderBy("dst", "ilabel", "olabel", "w")
-    return arcs.withColumn("b", F.row_number().over(order) - 1)
+    """arcs with column b: the place of an arc among those of its source, by target and labels.
+
+    All arcs are numbered in ranges, so a node of many arcs (the start has one for each sentence) is not one task.
+    """
+    placed = numbered(arcs, ["src", "dst", "ilabel", "olabel", "w"], "_n")
+    first = placed.groupBy("src").agg(F.min("_n").alias("_f"))
+    return placed.join(first, "src").withColumn("b", (F.col("_n") - F.col("_f")).cast("int")).drop("_n", "_f")
 
 
-def closure(arcs: DataFrame, finals: DataFrame | None = None, depth: int = 30, most: int = 30_000) -> DataFrame:
+def closure(arcs: DataFrame, finals: DataFrame | None = None, depth: int = 30, most: int = 30_000, longest: int | None = None) -> DataFrame:
     """(node, stop, w, depth, path): all paths of eps arcs to nodes with another arc; path holds branches where arcs have a column b.
 
-    Paths that end at a final node go.  Eps arcs in a circle, which show by a path longer than depth, and nodes with
-    more than most paths are errors, as nothing may be cut short.
+    Paths that end at a final node go.  Paths double: those of up to 2k arcs are those of up to k and those of exactly k with one of
+    up to k behind, so paths of n arcs take log n rounds.  Eps arcs in a circle, which show by a path longer than depth, and
+    nodes with more than most paths are errors, as nothing may be cut short.  longest: paths of more arcs, which a compiled table has no
+    room for, are an error too.
     """
-    step = arcs.where(F.col("ilabel") == EPS).select("src", "dst", "w", (F.col("b") if "b" in arcs.columns else F.lit(None)).cast("int").alias("b"))
-    step = cut(step)
-    paths = step.select(F.col("src").alias("node"), F.col("dst").alias("stop"), F.col("w").cast("double").alias("w"), F.array("b").alias("path"))
-    found, k = [cut(paths)], 1
-    while not found[-1].isEmpty():
-        if k > depth:
+    branch = (F.col("b") if "b" in arcs.columns else F.lit(None)).cast("int")
+    folder = Folder(arcs.sparkSession, "closure")
+    eps = arcs.where(F.col("ilabel") == EPS)
+    step = folder.keep(eps.select(F.col("src").alias("node"), F.col("dst").alias("stop"), F.col("w").cast("double").alias("w"), F.array(branch).alias("path")), "1")
+    every, exact, k, last = step, step, 1, step.isEmpty()
+
+    def behind(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(F.col("node").alias("stop"), F.col("stop").alias("_s"), F.col("w").alias("_w"), F.col("path").alias("_p"))
+        return a.join(b, "stop").select("node", F.col("_s").alias("stop"), (F.col("w") + F.col("_w")).alias("w"), F.concat("path", "_p").alias("path"))
+
+    while not last:
+        longer = folder.keep(behind(exact, every), f"{2 * k}")  # of k + 1 .. 2k arcs
+        top = longer.agg(F.max(F.size("path"))).first()[0] or 0
+        if top > depth:
             raise ValueError(f"eps arcs go {depth} deep, or in a circle")
-        nxt = found[-1].alias("p").join(step.alias("a"), F.col("p.stop") == F.col("a.src"))
-        found.append(cut(nxt.select("p.node", F.col("a.dst").alias("stop"), (F.col("p.w") + F.col("a.w")).alias("w"), F.concat("p.path", F.array("a.b")).alias("path"))))
-        k += 1
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    several = out.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        every, exact, last = every.unionByName(longer), longer.where(F.size("path") == 2 * k), top < 2 * k
+        k *= 2
+    several = every.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most)
     if not several.isEmpty():
         raise ValueError(f"a node has more than {most} eps paths")
-    out = out.withColumn("depth", F.size("path")).join(arcs.where(F.col("ilabel") != EPS).select(F.col("src").alias("stop")).distinct(), "stop", "left_semi")
+    out = every.withColumn("depth", F.size("path")).join(arcs.where(F.col("ilabel") != EPS).select(F.col("src").alias("stop")).distinct(), "stop", "left_semi")
     if finals is not None:
         out = out.join(finals.select(F.col("node").alias("stop")), "stop", "left_anti")
+    if longest is not None and not out.where(F.col("depth") > longest).isEmpty():
+        raise ValueError(f"a path has more than {longest} arcs")
     return out.select("node", "stop", "w", "depth", "path")
 
 
@@ -204,10 +216,59 @@ def encodings(arcs: DataFrame) -> DataFrame:
     return numbered(kinds, ["ilabel", "olabel", "w6"], "code")
 
 
+def arc_tree(arcs: DataFrame, folder: Folder) -> DataFrame | None:
+    """arcs (src, dst, ilabel, olabel, w6) with id, up (the arc into their source, null at the start) and ends (nothing leaves their target); None if an
+    inner node has several arcs into it, or the start has one."""
+    nodes = arcs.groupBy(F.col("src").alias("node")).agg(F.lit(True).alias("_goes"))
+    into = arcs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("_n")).join(nodes, "node")
+    if not into.where("_n > 1 or node = 0").isEmpty():
+        return None
+    rows = folder.keep(arcs.withColumn("id", F.monotonically_increasing_id()), "arcs")
+    leads = nodes.select(F.col("node").alias("dst"), F.lit(False).alias("ends"))
+    rows = rows.join(leads, "dst", "left").withColumn("ends", F.coalesce("ends", F.lit(True)))
+    up = rows.where("not ends").select(F.col("dst").alias("src"), F.col("id").alias("up"))
+    return folder.keep(rows.join(up, "src", "left"), "tree")
+
+
+def down_the_tree(tree: DataFrame, folder: Folder, first: dict[str, Column], both, name: str) -> DataFrame:
+    """(id, columns of first): what a fold over all arcs from the start to each arc gives; both(column, before, behind) joins two stretches.
+
+    Stretches double in each round, so a path of n arcs takes log n rounds.  Equal paths are folded in the same order.
+    """
+    at, k = folder.keep(tree.select("id", "up", *[c.alias(x) for x, c in first.items()]), f"{name}0"), 0
+    while not at.where("up is not null").isEmpty():
+        above = at.select(F.col("id").alias("up"), F.col("up").alias("_up"), *[F.col(x).alias(f"_{x}") for x in first])
+        joined = at.join(above, "up", "left")
+        merged = [F.when(F.col("up").isNull(), F.col(x)).otherwise(both(x, F.col(f"_{x}"), F.col(x))).alias(x) for x in first]
+        at = folder.keep(joined.select("id", F.col("_up").alias("up"), *merged), f"{name}{k + 1}")
+        folder.drop(f"{name}{k}")
+        k += 1
+    return at.drop("up")
+
+
+def factor_tree(tree: DataFrame, finals: DataFrame, folder: Folder) -> tuple[DataFrame, DataFrame]:
+    """``factor`` of a tree whose leaves may be shared: nodes at the end of equal labels are one set, and a set of leaves alone is
+    named by them."""
+    label = lambda seed: F.xxhash64("ilabel", "olabel", "w6", F.lit(seed))
+    named = down_the_tree(tree, folder, {"a": label(1), "b": label(2)}, lambda x, before, behind: F.xxhash64(before, behind, F.lit(x)), "path")
+    rows = tree.join(named, "id")
+    leaf = F.when(F.col("ends"), F.col("dst"))
+    leaves = rows.where("ends").select("a", "b", "dst").distinct().groupBy("a", "b").agg(F.concat_ws(":", F.lit("leaf"), F.count("*"), F.bit_xor(F.xxhash64("dst"))).alias("_leaf"))
+    inner = rows.groupBy("a", "b").agg(F.count_if(leaf.isNull()).alias("_inner"))
+    sets = inner.join(leaves, ["a", "b"], "left").select("a", "b", F.when(F.col("_inner") > 0, F.concat_ws(":", "a", "b")).otherwise(F.col("_leaf")).alias("to"))
+    rows = folder.keep(rows.join(sets, ["a", "b"]), "sets")
+    above = rows.select(F.col("id").alias("up"), F.col("to").alias("_from"))
+    arcs = rows.join(above, "up", "left").select(F.coalesce("_from", F.lit("0")).alias("src"), F.col("to").alias("dst"), "ilabel", "olabel", F.col("w6").alias("w")).distinct()
+    ends = rows.join(finals.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("to").alias("node"))
+    start = finals.where("node = 0").select(F.lit("0").alias("node"))
+    return arcs, ends.unionByName(start).distinct()
+
+
 def factor(arcs: DataFrame, finals: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(arcs, finals) in which arcs with equal labels and weights (to six decimals) out of a node are one, and their targets one node.
 
-    A new node stands for a set of old ones and is named by their number and a hash; the start is "0".  once: only arcs whose
+    Trees, which sentences are, are factored by their paths (``factor_tree``, log n rounds); other graphs take a round for each arc of depth.
+    A new node stands for a set of old ones and is named by a hash; the start is "0".  once: only arcs whose
     targets have one arc into them are joined, as merging from the far side of a reversed graph needs.  Sets stay rows, one a
     member, so none is gathered; each round goes one arc deeper.
     """
@@ -220,6 +281,11 @@ def factor(arcs: DataFrame, finals: DataFrame, once: bool = False) -> tuple[Data
     else:
         base = base.withColumn("alone", F.lit(None).cast("long"))
     base = cut(base)
+    if not once:
+        folder = Folder(spark, "factor")
+        tree = arc_tree(base.drop("alone"), folder)
+        if tree is not None:
+            return factor_tree(tree, finals, folder)
     name_of = lambda *c: F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64(*c)))
     members = cut(spark.range(1).select(F.lit("0").alias("name"), F.lit(0).cast("long").alias("node")))
     seen, parts, ends = members.select("name"), [], []

@@ -10,6 +10,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + v)
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, with x computed once: it is the only element of an array, and f runs over that."""
+    return F.transform(F.array(x), f)[0]
+
+
 def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
@@ -23,8 +28,8 @@ def relu(x: Column) -> Column:
 
 
 def softmax(x: Column, floor: float = 1e-20) -> Column:
-    e = F.transform(x, F.exp)
-    return F.transform(e, lambda v: F.greatest(v / total(e), F.lit(floor)))
+    over = lambda e: bound(total(e), lambda s: F.transform(e, lambda v: F.greatest(v / s, F.lit(floor))))
+    return bound(F.transform(x, F.exp), over)
 
 
 def groups(x: Column, k: int) -> Column:
@@ -42,8 +47,8 @@ def sum_group(x: Column, k: int) -> Column:
 
 def rms_normalise(x: Column) -> Column:
     """x over its root mean square, the factor capped at 1."""
-    scale = F.least(F.lit(1.0), F.try_divide(F.lit(1.0), F.sqrt(dot(x, x) / F.size(x))))
-    return F.transform(x, lambda v: v * F.coalesce(scale, F.lit(1.0)))
+    factor = lambda y: F.coalesce(F.least(F.lit(1.0), F.try_divide(F.lit(1.0), F.sqrt(dot(y, y) / F.size(y)))), F.lit(1.0))
+    return bound(x, lambda y: bound(factor(y), lambda s: F.transform(y, lambda v: v * s)))
 
 
 def scale(x: Column, factors: Column) -> Column:
@@ -57,8 +62,7 @@ def gather(codebook: Column, index: Column) -> Column:
 
 def log_posterior(x: Column, prior: Column) -> Column:
     """ln of x over the prior, made to sum to one."""
-    y = F.zip_with(x, prior, lambda a, b: a / b)
-    return F.transform(y, lambda v: F.ln(v / total(y)))
+    return bound(F.zip_with(x, prior, lambda a, b: a / b), lambda y: bound(total(y), lambda s: F.transform(y, lambda v: F.ln(v / s))))
 
 
 def log_add(a: Column, b: Column, cut: float = -23.02585) -> Column:
@@ -112,6 +116,30 @@ def padded_dim(x: Column, multiple: int = 4) -> Column:
     return F.concat(x, F.array_repeat(F.lit(0.0).cast("double"), lack))
 
 
+def exact32(c: Column) -> Column:
+    """c, which must fit in 32 bits with sign; anything else is an error."""
+    return F.when(c.between(-(1 << 31), (1 << 31) - 1), c).otherwise(F.raise_error(F.concat(F.lit("no 32-bit number: "), c.cast("string"))).cast("long"))
+
+
+def fixed_gaussian(x: Column, mean: Column, inverse_variance: Column, constant: Column) -> Column:
+    """Log-likelihood of a diagonal Gaussian in 32-bit integers with shifts (towards the lower number); arrays of whole numbers."""
+
+    def term(d: Column, v: Column) -> Column:
+        return F.shiftright(exact32(F.shiftright(exact32(d * v), 17) * d), 1)
+
+    whole = lambda c: F.transform(c, lambda v: exact32(v.cast("long")))
+    apart = F.transform(F.zip_with(whole(x), whole(mean), lambda a, b: a - b), exact32)
+    terms = F.zip_with(apart, whole(inverse_variance), term)
+    far = F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: exact32(a + t))
+    return bound(F.shiftright(far, 2), lambda s: -F.shiftright(exact32(s + constant.cast("long")), 1))
+
+
+def fixed_mixture(x: Column, mixtures: Column) -> Column:
+    """The best of the mixtures, structs (mu, iv, g) of whole numbers; -2147483647 where there is none."""
+    each = F.transform(mixtures, lambda m: fixed_gaussian(x, m["mu"], m["iv"], m["g"]))
+    return F.greatest(F.lit(-2147483647).cast("long"), F.coalesce(F.array_max(each), F.lit(-2147483647).cast("long")))
+
+
 def transition(matrix: Column, states: Column, at: Column, to: Column) -> Column:
     """The entry of a row-major matrix of states by states."""
     return F.element_at(matrix, (at * states + to + 1).cast("int"))

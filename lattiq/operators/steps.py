@@ -1,24 +1,57 @@
-"""Shared means of operators: numbering without a single task, checkpoints, walks by doubling."""
+"""Shared means of operators: numbering without a single task, tables that cut lineage, walks by doubling."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the session names, so that long chains of steps keep a short lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+class Folder:
+    """Tables in the folder that driver and executors share; deleted one by one, the rest with the driver."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            if not sc.master.startswith("local"):
+            if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="lattiq-")  # one machine, one process, as in tests
-        sc.setCheckpointDir(root)
-    return df.checkpoint()
+            spark.conf.set("spark.checkpoint.dir", root)
+        self.spark, self.path = spark, f"{root.rstrip('/')}/lattiq-{label}-{uuid.uuid4().hex}"
+        self._file(self.path).deleteOnExit(self._at(self.path))
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _file(self, path: str):
+        return self._at(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """df, written and read again; by: columns that its folders are named by."""
+        w = df.write.mode("overwrite")
+        (w.partitionBy(*by) if by else w).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._file(self.path).delete(self._at(f"{self.path}/{name}"), True)
+
+
+_folders: dict[str, tuple[Folder, count]] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the session's folder, so that long chains of steps keep a short lineage; it goes with the driver."""
+    spark = df.sparkSession
+    key = spark.sparkContext.applicationId
+    if key not in _folders:
+        _folders[key] = Folder(spark, "steps"), count()
+    folder, number = _folders[key]
+    folder.spark = spark
+    return folder.keep(df, str(next(number)))
 
 
 def order_columns(order: list[str]) -> list[Column]:

@@ -421,8 +421,3 @@ SELECT user_id AS utt, round(greatest(h, b, d), 6) AS score, true AS at_final FR
 def token_passing(spark, d):
     got = S.decode(token_frames(spark, d), small_net(spark), beam=3000)
     return got.select("utt", F.round("score", 6).alias("score"), "at_final")
-
-
-@query()
-def token_passing_lattice(spark, d):
-    return S.lattice_rows(S.decode(token_frames(spark, d), small_net(spark), beam=3))

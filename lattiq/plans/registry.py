@@ -518,5 +518,5 @@ def repeat_share_cut(spark, d):
     return ordered.crossJoin(F.broadcast(total)).where("upto / total <= 0.2").select("path", "n")
 
 
-for part in ("transcripts", "graphs", "models"):  # they add their queries here
+for part in ("transcripts", "graphs", "models", "decoding"):  # they add their queries here
     importlib.import_module(f"lattiq.plans.{part}")
