@@ -50,28 +50,37 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
 
 
+def squeezed(x: np.ndarray, kind: str) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    return pa.compress(x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def loosened(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = pa.decompress(data, width * n, codec="zstd", asbytes=True) if n else b""
+    return np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(kind).reshape(n).astype(np.int64)
+
+
 def packed(places: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Sorted places of many lists, one after the other: differences within each list, by byte planes, compressed."""
+    """Sorted places of many lists, one after the other, as differences within each list."""
     step = np.diff(places, prepend=0)
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
     step[first] = places[first]
-    return pa.compress(step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+    return squeezed(step, "<u4")
 
 
 def unpacked(data: bytes, sizes: np.ndarray) -> np.ndarray:
-    n = int(sizes.sum())
-    step = pa.decompress(data, 4 * n, codec="zstd", asbytes=True) if n else b""
-    step = np.frombuffer(step, np.uint8).reshape(4, n).T.copy().view("<u4").reshape(n).astype(np.int64)
+    step = loosened(data, int(sizes.sum()), "<u4")
     total = np.cumsum(step)
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
     return total - np.repeat((total - step)[first], sizes[sizes > 0])
 
 
-BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("sizes", pa.binary()), ("places", pa.binary())])
+BLOCKS = pa.schema([("block", pa.int64()), ("many", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("sizes", pa.binary()), ("places", pa.binary())])
 
 
 def blocks(docs: DataFrame, text_col: str, lang_col: str, block_words: int) -> DataFrame:
-    """(block, lang, words, sizes, places): the vertical lists of all words of each block."""
+    """(block, many, lang, words, sizes, places): the vertical lists of all words (so many) of each block."""
 
     def scan(batches):
         task, made = TaskContext.get().partitionId(), count()
@@ -86,7 +95,7 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_words: int) -> D
             order = at[np.argsort(place[at], kind="stable")]
             sizes = np.bincount(place[at], minlength=len(number) + 1)[1:]
             words = [w.decode("utf-8", "surrogatepass") for w in number]
-            return arrow(BLOCKS, [(task << 12 | next(made), lang, words, sizes.astype("<i4").tobytes(), packed(order, sizes))])
+            return arrow(BLOCKS, [(task << 12 | next(made), len(words), lang, words, squeezed(sizes, "<u4"), packed(order, sizes))])
 
         for rows in rows_of(batches, "lang", "text"):
             for lang, text in rows:
@@ -105,7 +114,7 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_words: int) -> D
             yield written(lang)
 
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    return source.mapInArrow(scan, "block long, lang string, words array<string>, sizes binary, places binary")
+    return source.mapInArrow(scan, "block long, many long, lang string, words array<string>, sizes binary, places binary")
 
 
 def word_rows(lists: DataFrame) -> DataFrame:
@@ -116,11 +125,11 @@ def word_rows(lists: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 words = batch.column("words")[i].values
-                n = np.frombuffer(batch.column("sizes")[i].as_buffer(), "<i4").astype(np.int64)
-                k = len(n)
+                k = batch.column("many")[i].as_py()
+                n = loosened(batch.column("sizes")[i].as_py(), k, "<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, batch.column("block")[i].as_py())), pa.array([batch.column("lang")[i].as_py()] * k, pa.string()), pa.array(np.arange(k, dtype=np.int32)), words, pa.array(n)], schema=schema)
 
-    return lists.select("block", "lang", "words", "sizes").mapInArrow(run, "block long, lang string, place int, word string, n long")
+    return lists.select("block", "many", "lang", "words", "sizes").mapInArrow(run, "block long, lang string, place int, word string, n long")
 
 
 #: Parts that the pairs of a level are counted in, one after the other, so that only one stands in shuffle files at a time; and the rows of a part, for fewer.
@@ -134,13 +143,13 @@ def pair_rows(lists: DataFrame, part: int, passes: int) -> DataFrame:
     schema = pa.schema([("at", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
-        for rows in rows_of(batches, "block", "p", "s", "sizes"):
-            for block, p, s, sizes in rows:
-                p, s, n = np.frombuffer(p, "<i8"), np.frombuffer(s, "<i8"), np.frombuffer(sizes, "<i4")
+        for rows in rows_of(batches, "block", "many", "p", "s", "sizes"):
+            for block, many, p, s, sizes in rows:
+                p, s, n = np.cumsum(loosened(p, many, "<i8")), np.cumsum(loosened(s, many, "<i8")), loosened(sizes, many, "<u4").astype(np.int32)
                 mine = np.flatnonzero(mix(p.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)) % np.uint64(passes) == part)
                 yield pa.RecordBatch.from_arrays([pa.array((block << PLACE) + mine), pa.array(p[mine]), pa.array(s[mine]), pa.array(n[mine])], schema=schema)
 
-    return lists.select("block", "p", "s", "sizes").mapInArrow(run, "at long, p long, s long, n int")
+    return lists.select("block", "many", "p", "s", "sizes").mapInArrow(run, "at long, p long, s long, n int")
 
 
 def counted(lists: DataFrame, least: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
@@ -175,9 +184,9 @@ def extended(lists: DataFrame, kept: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for rows in rows_of(batches, "block", "sizes", "places", "at", "ids"):
-            for block, sizes, places, at, ids in rows:
-                sizes = np.frombuffer(sizes, "<i4").astype(np.int64)
+        for rows in rows_of(batches, "block", "many", "sizes", "places", "at", "ids"):
+            for block, many, sizes, places, at, ids in rows:
+                sizes = loosened(sizes, many, "<u4")
                 every = unpacked(places, sizes)
                 at, ids = np.array(at, np.int64), np.array(ids, np.int64)
                 order = np.argsort(ids)
@@ -195,10 +204,11 @@ def extended(lists: DataFrame, kept: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(key)))
                 pair = key[first]
-                yield arrow(PAIRS, [(block, len(pair), ids[pair // max(1, len(ids))].astype("<i8").tobytes(), ids[pair % max(1, len(ids))].astype("<i8").tobytes(), n.astype("<i4").tobytes(), packed(every[meet][order], n))])
+                left, right = (np.diff(ids[x], prepend=0) for x in (pair // max(1, len(ids)), pair % max(1, len(ids))))
+                yield arrow(PAIRS, [(block, len(pair), squeezed(left, "<i8"), squeezed(right, "<i8"), squeezed(n, "<u4"), packed(every[meet][order], n))])
 
     grouped = kept.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("_k"))  # the frequent lists of one block
-    rows = lists.select("block", "sizes", "places").join(grouped, "block").select("block", "sizes", "places", F.col("_k.place").alias("at"), F.col("_k.id").alias("ids"))
+    rows = lists.select("block", "many", "sizes", "places").join(grouped, "block").select("block", "many", "sizes", "places", F.col("_k.place").alias("at"), F.col("_k.id").alias("ids"))
     return rows.mapInArrow(run, "block long, many long, p binary, s binary, sizes binary, places binary")
 
 
