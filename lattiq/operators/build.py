@@ -127,7 +127,7 @@ def decoding_graph(spark: SparkSession, folder: str, sentences: DataFrame, lexic
         if entries is None:
             entries = spark.createDataFrame([], "entry long, phones string")
         labels = arcs.select(F.col("ilabel").alias("sym")).where("not startswith(sym, 'D=')").unionByName(arcs.select(F.col("olabel").alias("sym")))
-        return {"arcs": arcs, "finals": state["finals"], "symbols": L.symbols(labels), "redirects": G.closure(G.branches(arcs)), "dictionary": entries}
+        return {"arcs": arcs, "finals": state["finals"], "symbols": L.symbols(labels), "redirects": G.closure(G.branches(arcs), longest=G.COMPILED_ARCS), "dictionary": entries}
 
     chain.append(("ready", str(ratio), ready))
     for name, options, make in chain[:steps]:

@@ -93,11 +93,26 @@ def summary_block(totals: DataFrame) -> DataFrame:
     return totals.select(text.alias("block"))
 
 
-def whole_report(scores: DataFrame, analysis: bool = True) -> DataFrame:
-    """(value): the blocks in the order of their ids, an empty line after each, then the summary; for a text sink."""
+def report_rows(scores: DataFrame, analysis: bool = True) -> DataFrame:
+    """(last, id, value): the blocks and the summary of a report; last and id order them."""
     blocks = report(scores, analysis).select(F.lit(0).alias("last"), "id", F.col("block").alias("value"))
     end = summary_block(summary(scores)).select(F.lit(1).alias("last"), F.lit("").alias("id"), F.col("block").alias("value"))
-    return blocks.unionByName(end).orderBy("last", "id").select("value")
+    return blocks.unionByName(end)
+
+
+def whole_report(scores: DataFrame, analysis: bool = True) -> DataFrame:
+    """(value): the blocks in the order of their ids, an empty line after each, then the summary; for a text sink."""
+    return report_rows(scores, analysis).orderBy("last", "id").select("value")
+
+
+def syllable_tokens(rows: DataFrame, table: DataFrame, default: str = "UNK") -> DataFrame:
+    """(id, tokens): the characters of texts (id, text; ids do not repeat) as the syllables of a table (ch, syl); what it lacks becomes default.
+
+    Characters are joined with the table, which may be of any size: Spark broadcasts a small one and splits common characters otherwise.
+    """
+    each = rows.select("id", F.posexplode(X.characters(F.col("text"))).alias("i", "ch")).join(table.select("ch", "syl"), "ch", "left")
+    found = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("syl", F.lit(default)).alias("s")))).alias("_t"))  # the characters of one text
+    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("_t.s", F.array().cast("array<string>")).alias("tokens"))
 
 
 RESULT_COLUMNS = ["no", "file name", "file number", "answer", "result_1(0%)", "result_2(random)", "replace", "insert", "delete"]

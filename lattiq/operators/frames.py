@@ -67,3 +67,21 @@ def cut(series: Column, at: Column, half: Column) -> Column:
 def deltas(rows: DataFrame, key: str, order: list[str], value: str, out: str = "delta") -> DataFrame:
     """A value less the one before it; the first stays."""
     return rows.withColumn(out, F.col(value) - F.coalesce(F.lag(value).over(Window.partitionBy(key).orderBy(*order)), F.lit(0)))
+
+
+def regression(rows: DataFrame, key: str, order: list[str], value: str, reach: int = 2, out: str = "slope") -> DataFrame:
+    """The slope of each value of a vector over reach frames on both sides: the sum of k (x[t + k] - x[t - k]) over twice that of k squared.
+
+    The first and last vector of a key are repeated beyond its ends.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(value).over(w.rowsBetween(0, Window.unboundedFollowing))
+    sides = [c for k in range(1, reach + 1) for c in (F.coalesce(F.lead(value, k).over(w), last).alias(f"_a{k}"), F.coalesce(F.lag(value, k).over(w), first).alias(f"_b{k}"))]
+    near = rows.select("*", *sides)
+    times = lambda k: lambda a, b: (a - b) * k
+    total = None
+    for k in range(1, reach + 1):
+        step = F.zip_with(f"_a{k}", f"_b{k}", times(k))
+        total = step if total is None else F.zip_with(total, step, lambda a, b: a + b)
+    return near.withColumn(out, F.transform(total, lambda v: v / (2 * sum(k * k for k in range(1, reach + 1))))).drop(*[f"_{s}{k}" for s in "ab" for k in range(1, reach + 1)])

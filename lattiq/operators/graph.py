@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lattiq.operators.steps import Folder, cut, numbered, running_sum
 
 EPS = "<eps>"
+#: Arcs of a path that a compiled redirect table has room for.
+COMPILED_ARCS = 12
 
 
 def context_graph(sentences: DataFrame, mode: int = 0) -> tuple[DataFrame, DataFrame]:

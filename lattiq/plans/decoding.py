@@ -1,4 +1,4 @@
-"""Queries on whole chains: a network's forward pass, decoding over tables, built graphs, fixed-point scores."""
+"""Queries on whole chains: a network's forward pass, decoding over tables, built graphs, fixed-point scores, sound, recurrent layers."""
 
 from __future__ import annotations
 
@@ -7,16 +7,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattiq.functions import text as X
+from lattiq.operators import audio as A
 from lattiq.operators import build as B
 from lattiq.operators import decode as D
+from lattiq.operators import frames as R
 from lattiq.operators import graph as G
 from lattiq.operators import network as K
 from lattiq.operators import nn as N
+from lattiq.operators import recurrent as U
 from lattiq.operators import search as S
 from lattiq.operators.steps import Folder
-from lattiq.plans.graphs import PLACES
-from lattiq.plans.models import mixture_table, small_net, token_frames
-from lattiq.plans.registry import VEC, events, query, table, vectors
+from lattiq.plans import models as M
+from lattiq.plans.registry import PLACES, events, place_names, query, vectors
 from lattiq.sources import binary
 
 # ---- the forward pass --------------------------------------------------------------------
@@ -83,7 +85,7 @@ def word_decoder(spark, beam: int = 3000, **options) -> D.Decoder:
 
 def short_frames(spark, d):
     """The events of a user, six to an utterance."""
-    f = token_frames(spark, d)
+    f = M.token_frames(spark, d)
     return f.select((F.col("utt") * 1000 + F.floor(F.col("t") / 6)).cast("long").alias("utt"), (F.col("t") % 6).alias("t"), "scores")
 
 
@@ -118,6 +120,26 @@ def decoded_words(spark, d):
     return decoder.best(3).select("utt", "rank", F.array_join("words", " ").alias("words"), F.round("score", 6).alias("score"), "at_final")
 
 
+#: Weights of the entries above, by which a language model counts more or less.
+WEIGHTS = (-0.5625, -0.8125, -0.3125, -0.125, -0.75, -0.25, -0.5)
+
+
+def scaled(net: str, by: float) -> str:
+    """The net with the weights of its entries scaled."""
+    head, entry = net.split("entry(node")
+    for w in WEIGHTS:
+        entry = entry.replace(f", {w}::DOUBLE", f", {w * by:.6f}::DOUBLE").replace(f", {w},", f", {w * by:.6f},")
+    return f"{head}entry(node{entry}"
+
+
+@query(passed(3000, "6", net=scaled(SLOTS, 4)) + " SELECT utt, array_to_string(words, ' ') AS words, round(s, 6) AS score FROM ended WHERE rank = 1")
+def decoded_scaled(spark, d):
+    """The best words where weights of the net count four times."""
+    decoder = word_decoder(spark, alpha=4.0)
+    decoder.run(short_frames(spark, d))
+    return decoder.best().select("utt", F.array_join("words", " ").alias("words"), F.round("score", 6).alias("score"))
+
+
 def lattice_sql(head: str) -> str:
     return head + """, left_ AS (SELECT utt, t + 1 AS stop, st, w, p, s, lm, se, be, bb FROM (SELECT v.*, slots.word AS here, row_number() OVER (PARTITION BY utt, t, slots.node ORDER BY s DESC, slot) AS first FROM v JOIN slots USING (slot) WHERE slots.node IS NOT NULL) JOIN last USING (utt) WHERE first = 1 AND here IS NOT NULL AND t < last
 UNION ALL SELECT utt, t + 1, st, w, p, s, lm, se, be, bb FROM ended WHERE rank = 1 AND here IS NOT NULL)
@@ -144,7 +166,7 @@ entry(node, slot, ew, word) AS (VALUES (0, 1, -0.5::DOUBLE, 'low'), (0, 0, -0.75
 @query(lattice_sql(passed(3, "1000000", "user_id", IN_TASK)))
 def token_passing_lattice(spark, d):
     """The word lattice of all events of a user, by the search in one task."""
-    return lattice_columns(S.lattice_rows(S.decode(token_frames(spark, d), small_net(spark), beam=3)))
+    return lattice_columns(S.lattice_rows(S.decode(M.token_frames(spark, d), M.small_net(spark), beam=3)))
 
 
 # ---- graphs built in one call ------------------------------------------------------------
@@ -153,8 +175,7 @@ def token_passing_lattice(spark, d):
 @query(f"WITH p AS (SELECT DISTINCT t FROM ({PLACES})) SELECT array_to_string(t, ' ') AS words, array_to_string(list_transform(string_split(array_to_string(t, ''), ''), lambda c: '#' || c), ' ') AS inputs, 1::BIGINT AS n FROM p")
 def graph_build(spark, d):
     """What the graph built of all customers' places accepts: their words, and the models of their letters."""
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
-    sentences = rows.select(F.col("c_custkey").alias("id"), F.array("r_name", "n_name", "c_mktsegment").alias("tokens"))
+    sentences = place_names(spark, d)
     lexicon = sentences.select(F.explode("tokens").alias("word")).distinct().select("word", F.split("word", "").alias("phones"))
     letters = lexicon.select(F.explode("phones").alias("c")).distinct()
     around = letters.select("c").unionByName(letters.sparkSession.createDataFrame([("sil",)], "c string"))
@@ -178,6 +199,75 @@ def fixed_point_scores(spark, d):
     """Every vector against the mixtures of every label in 32-bit integers: whole numbers, so that all bits agree."""
     whole = lambda c, by: F.transform(c, lambda v: X.quantise(v, by))
     one = lambda m: F.struct(whole(m["mu"], 256.0).alias("mu"), whole(m["iv"], 1024.0).alias("iv"), F.when(m["g"] < 0, F.ceil(m["g"] * 64)).otherwise(F.floor(m["g"] * 64)).alias("g"))
-    mixtures = mixture_table(spark, d).select(F.col("label").alias("state"), F.transform("mixtures", one).alias("m"))
+    mixtures = M.mixture_table(spark, d).select(F.col("label").alias("state"), F.transform("mixtures", one).alias("m"))
     rows = vectors(spark, d).select("vec_id", whole(F.col("v"), 256.0).alias("x")).crossJoin(F.broadcast(mixtures))  # one row for each of a model's states
     return rows.select("vec_id", "state", N.fixed_mixture(F.col("x"), F.col("m")).alias("score"))
+
+
+# ---- sound, slopes, recurrent layers -----------------------------------------------------
+
+SIGNAL = "s AS (SELECT user_id, list(value::DOUBLE ORDER BY ts, event_id) AS x FROM events GROUP BY user_id)"
+
+
+def signals(spark, d, span: int):
+    """The values of each user's events as a signal, in blocks of span samples."""
+    f = events(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    rows = f.groupBy(F.col("user_id").cast("long").alias("utt"), F.floor(F.col("i") / span).alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", F.col("value").cast("double").alias("v")))).alias("p"))
+    return rows.select("utt", "block", F.col("p.v").alias("x"))
+
+
+def sql_list(x) -> str:
+    return "[" + ", ".join(sql_list(v) if hasattr(v, "__len__") else f"{float(v)!r}::DOUBLE" for v in x) + "]"
+
+
+TAPS = A.low_pass(3, 2, 4)
+
+
+@query(f"""WITH {SIGNAL}, h AS (SELECT {sql_list(TAPS)} AS h), m AS (SELECT user_id, x, unnest(range(0, ((len(x) * 3 + 1) // 2)::BIGINT)) AS m FROM s)
+SELECT user_id::BIGINT AS utt, m::BIGINT AS i, round(coalesce(list_sum(list_transform(list_filter(range(0, len(x)), lambda k: m * 2 - k * 3 BETWEEN -{len(TAPS) // 2} AND {len(TAPS) // 2}), lambda k: x[k + 1] * h[m * 2 - k * 3 + {len(TAPS) // 2 + 1}])), 0), 6) + 0.0 AS v FROM m, h""")
+def resampled_signal(spark, d):
+    """Signals at three halves of their rate, in blocks of 32 samples."""
+    got = A.resample(signals(spark, d, 32), 3, 2, half=4, span=32)
+    return got.select("utt", F.posexplode("x").alias("k", "v"), "at").select("utt", (F.col("at") + F.col("k")).alias("i"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+FRONT = A.FrontEnd(rate=64, wide=8, hop=3, size=16, filters=5, low=1.0, high=32.0, cepstra=4)
+
+
+@query(f"""WITH {SIGNAL}, c AS (SELECT {sql_list(FRONT.window())} AS win, {sql_list(FRONT.mel_filters())} AS mel, {sql_list(FRONT.cosines())} AS co),
+f AS (SELECT user_id, t, x[3 * t + 1:3 * t + 8] AS x FROM (SELECT user_id, x, unnest(range(0, (len(x) - 8) // 3 + 1)) AS t FROM s WHERE len(x) >= 8)),
+e AS (SELECT user_id, t, list_transform(range(1, 9), lambda i: (x[i] - 0.97::DOUBLE * x[greatest(1, i - 1)]) * win[i]) AS y FROM f, c),
+p AS (SELECT user_id, t, list_transform(range(0, 9), lambda k: list_sum(list_transform(range(0, 8), lambda n: y[n + 1] * cos(2 * pi() * k * n / 16))) ** 2 + list_sum(list_transform(range(0, 8), lambda n: y[n + 1] * sin(2 * pi() * k * n / 16))) ** 2) AS p FROM e),
+l AS (SELECT user_id, t, list_transform(mel, lambda r: ln(greatest(1e-10::DOUBLE, list_sum(list_transform(range(1, 10), lambda k: p[k] * r[k]))))) AS l FROM p, c)
+SELECT user_id::BIGINT AS utt, t::BIGINT AS t, (k - 1)::INT AS k, round(list_sum(list_transform(range(1, 6), lambda m: l[m] * co[k][m])), 5) + 0.0 AS v FROM l, c, range(1, 5) q(k)""")
+def cepstral_features(spark, d):
+    """Cepstra of signals, in blocks of 16 samples with frames that reach over their ends."""
+    got = A.cepstra(signals(spark, d, 16), FRONT, span=16)
+    return got.select("utt", "t", F.posexplode("x").alias("k", "v")).select("utt", "t", "k", (F.round("v", 5) + F.lit(0.0)).alias("v"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, value::DOUBLE AS v FROM events), w AS (SELECT event_id, first_value(v) OVER a AS f, last_value(v) OVER a AS l, lead(v, 1) OVER o AS a1, lead(v, 2) OVER o AS a2, lag(v, 1) OVER o AS b1, lag(v, 2) OVER o AS b2 FROM e
+WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id), a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT event_id, round((coalesce(a1, l) - coalesce(b1, f) + 2 * (coalesce(a2, l) - coalesce(b2, f))) / 10, 6) + 0.0 AS slope, round(-3 * (coalesce(a1, l) - coalesce(b1, f) + 2 * (coalesce(a2, l) - coalesce(b2, f))) / 10, 6) + 0.0 AS other FROM w""")
+def feature_slopes(spark, d):
+    rows = events(spark, d).withColumn("x", F.array(F.col("value").cast("double"), F.col("value").cast("double") * -3))
+    got = R.regression(rows, "user_id", ["ts", "event_id"], "x")
+    return got.select("event_id", *[(F.round(F.col("slope")[k], 6) + F.lit(0.0)).alias(n) for k, n in enumerate(("slope", "other"))])
+
+
+#: A layer of two cells over three inputs.
+CELLS = U.Lstm(np.array([[((3 * r + 5 * c) % 7 - 3) / 4 for c in range(3)] for r in range(8)]), np.array([[((2 * r + 3 * c) % 5 - 2) / 4 for c in range(2)] for r in range(8)]), np.array([(r % 3 - 1) / 4 for r in range(8)]))
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT {sql_list(CELLS.w)} AS w, {sql_list(CELLS.u)} AS u, {sql_list(CELLS.b)} AS b), f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, [value / 100, (event_id % 7) / 7, (event_id % 3) / 3]::DOUBLE[] AS x FROM events),
+v AS (SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0::BIGINT AS t, [0.0, 0.0]::DOUBLE[] AS h, [0.0, 0.0]::DOUBLE[] AS c FROM f UNION ALL
+SELECT user_id, event_id, t, list_transform(range(1, 3), lambda j: (1 / (1 + exp(-z[6 + j]))) * (1 - 2 / (exp(2 * d[j]) + 1))), d FROM (SELECT *, list_transform(range(1, 3), lambda j: (1 / (1 + exp(-z[2 + j]))) * c[j] + (1 / (1 + exp(-z[j]))) * (1 - 2 / (exp(2 * z[4 + j]) + 1))) AS d FROM (
+  SELECT f.user_id, f.event_id, f.t, v.c, list_transform(range(1, 9), lambda g: b[g] + list_sum(list_transform(range(1, 4), lambda i: w[g][i] * x[i])) + list_sum(list_transform(range(1, 3), lambda j: u[g][j] * h[j]))) AS z FROM v JOIN f ON f.user_id = v.user_id AND f.t = v.t + 1, l)))
+SELECT event_id, round(h[1], 6) + 0.0 AS a, round(h[2], 6) + 0.0 AS b FROM v WHERE t > 0""")
+def recurrent_layer(spark, d):
+    """The outputs of a recurrent layer over the events of each user."""
+    x = F.array(F.col("value") / 100, (F.col("event_id") % 7) / 7, (F.col("event_id") % 3) / 3).cast("array<double>")
+    rows = events(spark, d).select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", x.alias("x"))
+    placed = rows.withColumn("t", F.row_number().over(Window.partitionBy("user_id").orderBy("at")))
+    got = U.recurrent(placed, CELLS, "user_id", "t", "x", rows=50)
+    return got.join(placed.select("user_id", "t", "event_id"), ["user_id", "t"]).select("event_id", *[(F.round(F.col("h")[k], 6) + F.lit(0.0)).alias(n) for k, n in enumerate("ab")])

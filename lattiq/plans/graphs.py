@@ -8,15 +8,11 @@ from lattiq.operators import graph as G
 from lattiq.operators import lexicon as L
 from lattiq.operators import rewrite as W
 from lattiq.operators.steps import numbered
-from lattiq.plans.registry import GRAPH, HOLES, WORDS_B, graph, query, r6, table
-
-#: Sentences of three words of our own: region, nation and market of every customer.
-PLACES = "SELECT c_custkey AS id, [r_name, n_name, c_mktsegment] AS t FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"
+from lattiq.plans.registry import GRAPH, HOLES, PLACES, WORDS_B, graph, place_names, query, r6, table
 
 
 def places(spark, d):
-    joined = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
-    return G.context_graph(joined.select(F.col("c_custkey").alias("id"), F.array("r_name", "n_name", "c_mktsegment").alias("tokens")))
+    return G.context_graph(place_names(spark, d))
 
 
 def shape(arcs):

@@ -518,5 +518,15 @@ def repeat_share_cut(spark, d):
     return ordered.crossJoin(F.broadcast(total)).where("upto / total <= 0.2").select("path", "n")
 
 
+#: Sentences of three words of our own: region, nation and market of every customer.
+PLACES = "SELECT c_custkey AS id, [r_name, n_name, c_mktsegment] AS t FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"
+
+
+def place_names(spark, d):
+    """(id, tokens) of these sentences."""
+    joined = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    return joined.select(F.col("c_custkey").alias("id"), F.array("r_name", "n_name", "c_mktsegment").alias("tokens"))
+
+
 for part in ("transcripts", "graphs", "models", "decoding"):  # they add their queries here
     importlib.import_module(f"lattiq.plans.{part}")

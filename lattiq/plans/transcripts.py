@@ -8,7 +8,8 @@ from lattiq.functions import text as X
 from lattiq.operators import evaluate as E
 from lattiq.operators import lexicon as L
 from lattiq.operators import perturb as P
-from lattiq.plans.registry import DP, hyp_sql, query, r6, table, vectors
+from lattiq.plans.registry import DP, ORACLE_SQL, hyp_sql, query, r6, scored, table, vectors
+from lattiq.sources import text
 
 #: Tokens of a text at character level: those that are not pure ASCII fall into their characters.
 CHARS = "flatten(list_transform(string_split(regexp_replace({t}, ' +$', ''), ' '), lambda t: CASE WHEN length(t) = strlen(t) THEN [t] ELSE string_split(t, '') END))"
@@ -47,18 +48,15 @@ def syllable_rows(spark, d):
 pairs AS (SELECT id, {LOOKUP.format(x=CHARS.format(t="array_to_string(ref, ' ')"))} AS ref, {LOOKUP.format(x=CHARS.format(t="array_to_string(hyp, ' ')"))} AS hyp FROM hyps, m), {DP} {SCORES}""")
 def cer_syllable_utterance(spark, d):
     refs, hyps = refs_and_hyps(spark, d)
-    syllables = L.syllable_map(syllable_rows(spark, d))
-    known = spread(spark, refs).crossJoin(F.broadcast(syllables))  # one map, a row for each character of the script
-    rows = known.select("id", E.tokens(F.col("text"), "syllable", F.col("syllables")).alias("ref"))
-    hyp = hyps.crossJoin(F.broadcast(syllables)).select("id", E.tokens(F.col("text"), "syllable", F.col("syllables")).alias("hyp"))
-    return E.score(rows.join(hyp, "id")).select("id", *"CMDIS", "distance", "corr", "acc", "path")
+    known = syllable_rows(spark, d)
+    ref, hyp = (E.syllable_tokens(spread(spark, x), known).withColumnRenamed("tokens", n) for x, n in ((refs, "ref"), (hyps, "hyp")))
+    return E.score(ref.join(hyp, "id")).select("id", *"CMDIS", "distance", "corr", "acc", "path")
 
 
 @query(f"SELECT id, array_to_string(list_transform(x, lambda t: coalesce(m[t], 'UNK')), ' ') AS syllables FROM (SELECT conv_id * 100 + turn AS id, {CHARS.format(t='text')} AS x FROM conversations), (SELECT map(list(ch), list(syl)) AS m FROM ({SYL}))")
 def token_syllables(spark, d):
     rows = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    known = rows.crossJoin(F.broadcast(L.syllable_map(syllable_rows(spark, d))))
-    return known.select("id", F.array_join(X.syllables(F.col("text"), F.col("syllables")), " ").alias("syllables"))
+    return E.syllable_tokens(rows, syllable_rows(spark, d)).select("id", F.array_join("tokens", " ").alias("syllables"))
 
 
 @query(f"""WITH {HYPS}, first AS (SELECT id, array_to_string(hyp, '') AS text FROM hyps), tok2 AS (SELECT id, ref FROM tok),
@@ -111,6 +109,43 @@ def cjk_characters(spark, d):
     return rows.select("page_id", F.size(F.filter(F.split("url", ""), X.is_cjk)).alias("n"))
 
 
+@query(f"""WITH t AS (SELECT doc_id AS id, translate(text, '{LETTERS}', '{CJK}') AS text FROM documents WHERE text IS NOT NULL),
+c AS (SELECT id, flatten(list_transform(string_split(regexp_replace(text, ' +$', ''), ' '), lambda t: CASE WHEN length(t) = strlen(t) THEN [t] ELSE string_split(t, '') END)) AS x FROM t)
+SELECT id, len(x)::INT AS n, len(list_filter(x, lambda c: c BETWEEN '一' AND '龥' AND ((unicode(c) - 19968) // 3) % 2 = 0))::INT AS known, md5(array_to_string(list_transform(x, lambda c: CASE WHEN c BETWEEN '一' AND '龥' AND ((unicode(c) - 19968) // 3) % 2 = 0 THEN 's' || ((unicode(c) - 19968) // 3) ELSE 'UNK' END), ' ')) AS digest FROM c""")
+def syllables_of_characters(spark, d):
+    """Texts of CJK characters, every second of which has a syllable: a join of characters, whatever the size of the table."""
+    rows = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.translate("text", LETTERS, CJK).alias("text"))
+    ch = rows.sparkSession.range(1).select(F.explode(F.split(F.lit(CJK), "")).alias("ch"))
+    place = ((F.ascii("ch") - 0x4E00) / 3).cast("int")
+    got = E.syllable_tokens(rows, ch.where(place % 2 == 0).select("ch", F.concat(F.lit("s"), place.cast("string")).alias("syl")))
+    return got.select("id", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda t: t != "UNK")).alias("known"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@query(f"""SELECT 0 AS last, id::VARCHAR AS id, block AS value FROM ({ORACLE_SQL["cer_report"]})
+UNION ALL SELECT 1, '', format('\n#### Summary of {{}} sentences\nSentence Accuracy: {{:.2f}} ({{}}/{{}})\nCharacter-level:\tCorr:{{:.2f}} Acc:{{:.2f}}\tC:{{}} M:{{}} D:{{}} I:{{}} S:{{}}', sentences, sentence_acc, perfect, sentences, corr, acc, "C", "M", "D", "I", "S") FROM ({ORACLE_SQL["cer_word_summary"]})""")
+def cer_whole_report(spark, d):
+    """The rows of a whole report, with the columns that order them."""
+    return E.report_rows(scored(spark, d).withColumn("id", F.col("id").cast("string")))
+
+
+@query("SELECT event_id, format('node:{} branch:{} state:{} score:{:.6f} hist:{}', user_id, event_id % 7, event_id % 3, value, event_id // 5) AS value FROM events")
+def token_dump(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select("event_id", F.col("user_id").cast("long").alias("node"), (F.col("event_id") % 7).alias("branch"), (F.col("event_id") % 3).alias("state"), F.col("value").alias("score"), F.floor(F.col("event_id") / 5).alias("hist"))
+    return rows.select("event_id", text.token_line().alias("value"))
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS syl FROM benchmark), s AS (SELECT syl, syl[1] AS i, syl[2:] AS f FROM w WHERE length(syl) > 1)
+SELECT syl, [ascii(CASE WHEN length(syl) % 3 = 0 THEN f ELSE i END)] || CASE WHEN length(syl) % 3 = 0 THEN [length(f)] ELSE [1, ascii(f), length(f)] END AS states FROM s""")
+def syllable_models(spark, d):
+    """Syllables as the states of their initial and final; every third has no initial.  A model's states: its first character and its length."""
+    w = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("syl")).distinct().where("char_length(syl) > 1")
+    parts = w.select("syl", F.when(F.char_length("syl") % 3 != 0, F.left("syl", F.lit(1))).alias("initial"), F.expr("substring(syl, 2)").alias("final"))
+    names = parts.select(F.col("initial").alias("model")).unionByName(parts.select(F.col("final").alias("model"))).where("model is not null").distinct()
+    models = names.select("model", F.array(F.ascii("model"), F.char_length("model")).alias("states"))
+    return L.compose_models(parts, models).select("syl", "states")
+
+
 WIDE = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
 
 
@@ -161,5 +196,5 @@ def confusion_network(spark, d):
 def confusion_dictionary(spark, d):
     likely = neighbour_confusions(passages(spark, d)).where("ratio > 0.3")
     lines = likely.select(F.explode(F.array(F.concat_ws("_", "ref", "hyp"), F.concat_ws("_", "ref", "hyp", F.lit("@")))).alias("line"))
-    phones = likely.select(F.col("hyp").alias("syl"), F.concat(F.left("hyp", F.lit(2)), F.lit(" "), F.substring("hyp", 3, 10_000)).alias("phones")).distinct()
+    phones = likely.select(F.col("hyp").alias("syl"), F.concat(F.left("hyp", F.lit(2)), F.lit(" "), F.expr("substring(hyp, 3)")).alias("phones")).distinct()
     return L.confusion_entries(lines, phones)

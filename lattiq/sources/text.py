@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.functions import text as X
@@ -240,9 +240,14 @@ def lattice_lines(rows: DataFrame) -> DataFrame:
     return rows.orderBy("start", "stop", "word", "prev").select(line.alias("value"))
 
 
+def token_line() -> Column:
+    """The line of a token (node, branch, state, score, hist)."""
+    return F.format_string("node:%d branch:%d state:%d score:%.6f hist:%d", "node", "branch", "state", "score", "hist")
+
+
 def token_lines(tokens: DataFrame) -> DataFrame:
-    """One line a token (node, branch, state, score, hist), for a look at a search."""
-    return tokens.select(F.format_string("node:%d branch:%d state:%d score:%.6f hist:%d", "node", "branch", "state", "score", "hist").alias("value"))
+    """One line a token, for a look at a search."""
+    return tokens.select(token_line().alias("value"))
 
 
 def array_header(name: str, kind: str, values: DataFrame, each: int = 20) -> DataFrame:
@@ -251,14 +256,6 @@ def array_header(name: str, kind: str, values: DataFrame, each: int = 20) -> Dat
     return packed.select(F.concat(F.lit(f"const {kind} {name}["), F.col("n").cast("string"), F.lit("]={"), vector_text(F.col("x.v"), each), F.lit("};")).alias("value"))
 
 
-BUILD_STEPS = ("factor words", "words to phones", "factor phones", "split contexts", "to physical models", "factor models", "join silence", "expand partly", "model index", "redirect table")
-
-
-def build_steps(contexts: bool) -> list[str]:
-    """The steps from sentences to a decoding graph, in order; without contexts those on contexts are left out."""
-    return [x for x in BUILD_STEPS if contexts or x not in ("split contexts", "to physical models", "factor models")]
-
-
 def auxiliary_lexicon(spark: SparkSession, sentences: int = 0) -> DataFrame:
     """(word, phones) of silence, ends and connectors, and of a label ``@k`` for each sentence."""
     fixed = spark.createDataFrame([("sil", ["sil"]), ("sp", ["sp"]), ("<s>", ["sil"]), ("</s>", ["sil"]), ("<eps>", ["<eps>"]), ("<F>", ["<F>"])], "word string, phones array<string>")

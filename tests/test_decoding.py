@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.operators import align, build, decode, graph, network, nn, search
-from lattiq.plans import decoding
+from lattiq.plans import decoding, models
 
 
 def layers(rng):
@@ -105,10 +105,10 @@ def test_words_against_all_paths(spark):
         words, score = max(all_paths(x).items(), key=lambda p: p[1])
         assert got[u] == (words, round(score, 9), True)
     # the same net with its entry written out, in one task
-    one = {r.utt: (tuple(r.words), round(r.score, 9), r.at_final) for r in search.decode(df, decoding.small_net(spark), 3000).collect()}
+    one = {r.utt: (tuple(r.words), round(r.score, 9), r.at_final) for r in search.decode(df, models.small_net(spark), 3000).collect()}
     assert one == got
     rows = lambda d: sorted((r.utt, r.start, r.stop, r.word, r.prev, round(r.am, 9), round(r.lm, 9)) for r in d.collect())
-    assert rows(decoder.lattice()) == rows(search.lattice_rows(search.decode(df, decoding.small_net(spark), 3000)))
+    assert rows(decoder.lattice()) == rows(search.lattice_rows(search.decode(df, models.small_net(spark), 3000)))
     # a word of the lattice's last row is the last word decoded
     ends = {r.utt: r.word for r in decoder.lattice().collect() if r.stop == len(given[r.utt])}
     assert all(ends[u] == got[u][0][-1] for u in ends)
