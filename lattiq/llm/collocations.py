@@ -177,10 +177,10 @@ def counted(lists: DataFrame, least: int, scratch: Scratch, name: str) -> tuple[
 PAIRS = pa.schema([("block", pa.int64()), ("many", pa.int64()), ("p", pa.binary()), ("s", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
 
 
-def extended(lists: DataFrame, kept: DataFrame) -> DataFrame:
+def extended(lists: DataFrame, held: DataFrame) -> DataFrame:
     """(block, many, p, s, sizes, places): lists (so many) of the pairs of frequent phrases that begin side by side.
 
-    kept (block, kept) names the frequent ones of each block by the place of their list and their number.
+    held (block, held) names the frequent ones of each block by the places of their lists and their numbers.
     """
 
     def run(batches):
@@ -207,8 +207,7 @@ def extended(lists: DataFrame, kept: DataFrame) -> DataFrame:
                 left, right = (np.diff(ids[x], prepend=0) for x in (pair // max(1, len(ids)), pair % max(1, len(ids))))
                 yield arrow(PAIRS, [(block, len(pair), squeezed(left, "<i8"), squeezed(right, "<i8"), squeezed(n, "<u4"), packed(every[meet][order], n))])
 
-    grouped = kept.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("_k"))  # the frequent lists of one block
-    rows = lists.select("block", "many", "sizes", "places").join(grouped, "block").select("block", "many", "sizes", "places", F.col("_k.place").alias("at"), F.col("_k.id").alias("ids"))
+    rows = lists.select("block", "many", "sizes", "places").join(held, "block").select("block", "many", "sizes", "places", F.col("held.place").alias("at"), F.col("held.id").alias("ids"))
     return rows.mapInArrow(run, "block long, many long, p binary, s binary, sizes binary, places binary")
 
 
@@ -226,8 +225,9 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     tables = [scratch.keep(words, "phrases1")]
     kept = rows.join(tables[0].select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("block", "place", "id")
     for k in range(2, longest + 1):
-        longer = scratch.keep(extended(lists, kept), f"lists{k}", "zstd")
-        scratch.drop(f"lists{k - 1}", *(f"kept{k - 1}-{part}" for part in range(PASSES)))
+        held = scratch.keep(kept.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("held")), f"held{k}", "zstd")  # the frequent lists of one block; a table, so that the shuffle before ends here
+        longer = scratch.keep(extended(lists, held), f"lists{k}", "zstd")
+        scratch.drop(f"lists{k - 1}", f"held{k}", *(f"kept{k - 1}-{part}" for part in range(PASSES)))
         lists, short = longer, tables[-1]
         found, kept = counted(longer, least, scratch, f"kept{k}")
         a = short.select(F.col("id").alias("p"), "lang", F.col("phrase").alias("_head"), F.col("lefts").alias("_l"))
