@@ -46,7 +46,7 @@ def small_network(spark):
         ("PNORM", 24, 12, None, None, None), ("FIXEDSCALE", 12, 12, np.arange(1, 13) / 8, None, None), ("VQ_AFFINE_TRANSFORM", 12, 16, book.ravel(), (np.arange(16) % 5 - 2) / 8, [5, 4, 16, 3, *index]),
         ("RELU", 16, 16, None, None, None), ("AFFINE_TRANSFORM", 16, 10, w[8][0].ravel(), w[8][1], None), ("SOFTMAX", 10, 10, None, None, None), ("SUMGROUP", 10, 5, None, None, [1, 2, 3, 2, 2]),
     ]
-    content = binary.network_bytes([("m", [0, 1, 2], 0)], [("t", 2, [0.0, 1.0, 0.0, 0.0])], 64, 2, layers, np.log((np.arange(5) + 1) / 15).tolist())
+    content = binary.network_bytes([("m", [0, 1, 2], 0)], [("t", 2, [0.0, 1.0, 0.0, 0.0])], 64, 2, layers, (-(np.arange(5) + 1) / 2).tolist())
     return K.network_of(binary.parse_networks(spark.createDataFrame([("n", content)], "path string, content binary")))
 
 
@@ -57,7 +57,7 @@ l4 AS (SELECT vec_id, list_transform(range(0, 12), lambda g: sqrt(y[2 * g + 1] *
 l6 AS (SELECT vec_id, list_transform(range(1, 17), lambda o: list_sum(list_transform(range(0, 12), lambda i: y[i + 1] * (((((o * (i // 4 + 1)) % 5 + 1) * (i % 4 + 1)) % 7 - 3) / 4.0::DOUBLE))) + ((o - 1) % 5 - 2) / 8.0::DOUBLE) AS y FROM l5),
 l7 AS (SELECT vec_id, list_transform(y, lambda x: greatest(x, 0.0::DOUBLE)) AS y FROM l6), l8 AS (SELECT vec_id, {affine_sql(8, 10, 16)} AS y FROM l7),
 l9 AS (SELECT vec_id, list_transform(y, lambda x: greatest(exp(x) / s, 1e-20::DOUBLE)) AS y FROM (SELECT *, list_sum(list_transform(y, lambda z: exp(z))) AS s FROM l8)),
-l10 AS (SELECT vec_id, [y[1], y[2] + y[3], y[4] + y[5] + y[6], y[7] + y[8], y[9] + y[10]] AS y FROM l9), p AS (SELECT vec_id, list_transform(range(1, 6), lambda i: y[i] * 15 / i) AS y FROM l10)
+l10 AS (SELECT vec_id, [y[1], y[2] + y[3], y[4] + y[5] + y[6], y[7] + y[8], y[9] + y[10]] AS y FROM l9), p AS (SELECT vec_id, list_transform(range(1, 6), lambda i: y[i] * exp(i / 2.0::DOUBLE)) AS y FROM l10)
 SELECT vec_id, (i - 1)::INT AS state, round(ln(y[i] / list_sum(y)), 4) + 0.0 AS score FROM p, range(1, 6) t(i)"""
 
 
