@@ -158,7 +158,7 @@ def counted(lists: DataFrame, least: int, scratch: Scratch, name: str) -> tuple[
     One shuffle brings the rows of a pair together, one a block, where they are summed and stay if the pair is frequent.
     """
     pair = Window.partitionBy("p", "s")
-    parts, passes = [], min(PASSES, 1 + (lists.agg(F.sum("many")).first()[0] or 0) // PASS_ROWS)
+    parts, passes = [], passes_for(lists)
     for part in range(passes):
         rows = pair_rows(lists, part, passes).withColumns({"f": F.sum("n").over(pair), "first": F.row_number().over(pair.orderBy("at")) == 1})
         parts.append(scratch.keep(rows.where(F.col("f") >= least).select("at", "p", "s", "f", "first"), f"{name}-{part}", "zstd"))
@@ -177,8 +177,12 @@ def counted(lists: DataFrame, least: int, scratch: Scratch, name: str) -> tuple[
 PAIRS = pa.schema([("block", pa.int64()), ("many", pa.int64()), ("p", pa.binary()), ("s", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
 
 
-def extended(lists: DataFrame, held: DataFrame) -> DataFrame:
-    """(block, many, p, s, sizes, places): lists (so many) of the pairs of frequent phrases that begin side by side.
+def passes_for(lists: DataFrame) -> int:
+    return min(PASSES, 1 + (lists.agg(F.sum("many")).first()[0] or 0) // PASS_ROWS)
+
+
+def extended(lists: DataFrame, held: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(block, many, p, s, sizes, places): lists (so many) of the pairs of frequent phrases that begin side by side; some of the blocks at a time.
 
     held (block, held) names the frequent ones of each block by the places of their lists and their numbers.
     """
@@ -207,8 +211,14 @@ def extended(lists: DataFrame, held: DataFrame) -> DataFrame:
                 left, right = (np.diff(ids[x], prepend=0) for x in (pair // max(1, len(ids)), pair % max(1, len(ids))))
                 yield arrow(PAIRS, [(block, len(pair), squeezed(left, "<i8"), squeezed(right, "<i8"), squeezed(n, "<u4"), packed(every[meet][order], n))])
 
-    rows = lists.select("block", "many", "sizes", "places").join(held, "block").select("block", "many", "sizes", "places", F.col("held.place").alias("at"), F.col("held.id").alias("ids"))
-    return rows.mapInArrow(run, "block long, many long, p binary, s binary, sizes binary, places binary")
+    out, passes = None, passes_for(lists)
+    for part in range(passes):
+        mine = F.pmod(F.xxhash64("block"), F.lit(passes)) == part
+        rows = lists.where(mine).select("block", "many", "sizes", "places").join(held.where(mine), "block")
+        rows = rows.select("block", "many", "sizes", "places", F.col("held.place").alias("at"), F.col("held.id").alias("ids"))
+        longer = scratch.keep(rows.mapInArrow(run, "block long, many long, p binary, s binary, sizes binary, places binary"), f"{name}-{part}", "zstd")
+        out = longer if out is None else out.unionByName(longer)
+    return out
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, block_words: int = BLOCK_WORDS) -> tuple[list[DataFrame], DataFrame, Scratch]:
@@ -226,8 +236,8 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     kept = rows.join(tables[0].select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("block", "place", "id")
     for k in range(2, longest + 1):
         held = scratch.keep(kept.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("held")), f"held{k}", "zstd")  # the frequent lists of one block; a table, so that the shuffle before ends here
-        longer = scratch.keep(extended(lists, held), f"lists{k}", "zstd")
-        scratch.drop(f"lists{k - 1}", f"held{k}", *(f"kept{k - 1}-{part}" for part in range(PASSES)))
+        longer = extended(lists, held, scratch, f"lists{k}")
+        scratch.drop(f"lists{k - 1}", f"held{k}", *(f"{x}{k - 1}-{part}" for x in ("lists", "kept") for part in range(PASSES)))
         lists, short = longer, tables[-1]
         found, kept = counted(longer, least, scratch, f"kept{k}")
         a = short.select(F.col("id").alias("p"), "lang", F.col("phrase").alias("_head"), F.col("lefts").alias("_l"))
@@ -235,7 +245,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
         both = found.join(a, "p").join(b, "s")
         cuts = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.struct(F.element_at("_l", i).alias("l"), F.element_at("_r", F.lit(k) - i).alias("r")))
         tables.append(scratch.keep(both.select("id", "lang", F.concat_ws(" ", "_head", "_last").alias("phrase"), "f", "p", "s", F.col("_last").alias("last"), F.concat("_l", F.array("f")).alias("lefts"), F.concat("_r", F.array("f")).alias("rights"), cuts.alias("cuts")), f"phrases{k}"))
-    scratch.drop(f"lists{longest}", *(f"kept{longest}-{part}" for part in range(PASSES)))
+    scratch.drop(*(f"{x}{longest}-{part}" for x in ("lists", "kept") for part in range(PASSES)))
     return tables, sums, scratch
 
 

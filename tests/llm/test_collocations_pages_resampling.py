@@ -49,7 +49,8 @@ def words_of_chance(seed, n):
 
 
 @pytest.mark.parametrize("block", [40, 10**6])
-def test_collocations(spark, block):
+def test_collocations(spark, block, monkeypatch):
+    monkeypatch.setattr(collocations, "PASS_ROWS", block)  # several passes, or one
     rows = words_of_chance(3, 60)
     df = spark.createDataFrame([(None if i % 7 == 0 else i, t, lang, "x", 1) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string, block string, n int").repartition(3)
     got = collocations.collocations(df, least=4, report=25, block_words=block)
